@@ -4,6 +4,8 @@ An address is split with one expression rather than ``parse_url``, which gives
 nothing for international hosts and for paths with a space in them.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A column worked out once and used several times in one expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column | str) -> Column:
     """A text without white space at its ends."""
     return F.btrim(_col(c), F.lit(SPACES))
@@ -173,14 +180,18 @@ def is_engine_host(c: Column | str) -> Column:
     """Whether a host is the search engine's own: its label stands directly
     left of the public suffix."""
     labels = F.split(F.lower(F.regexp_replace(strip(c), r"\.\z", "")), r"\.")
-    n = F.size(labels)
-    one = (n >= 2) & (F.try_element_at(labels, F.lit(-2)) == "google")
-    two = (
-        (n >= 3)
-        & (F.try_element_at(labels, F.lit(-3)) == "google")
-        & F.try_element_at(labels, F.lit(-2)).isin(*SUFFIX_LABELS)
-    )
-    return F.coalesce(one | two, F.lit(False))
+
+    def own(labels: Column) -> Column:
+        one = F.try_element_at(labels, F.lit(-2)) == "google"
+        two = (F.try_element_at(labels, F.lit(-3)) == "google") & F.try_element_at(labels, F.lit(-2)).isin(*SUFFIX_LABELS)
+        return F.coalesce(one, F.lit(False)) | F.coalesce(two, F.lit(False))
+
+    return let(labels, own)
+
+
+def _away(value: Column) -> Column:
+    """An address that leads off the engine, else null."""
+    return let(value, lambda v: F.when(readable(v) & ~is_engine_host(url_host(v)), v))
 
 
 def query_parameter(query: Column, name: str) -> Column:
@@ -190,23 +201,24 @@ def query_parameter(query: Column, name: str) -> Column:
 
 def classify_link(c: Column | str) -> Column:
     """What a result's href is: struct(dest, form, ok)."""
-    href = strip(c)
-    query = F.regexp_extract(href, r"^[^?#]*\?([^#]*)", 1)
-    away = F.lit(None).cast("string")
-    for name in ("url", "q"):
-        value = query_parameter(query, name)
-        away = F.when(readable(value) & ~is_engine_host(url_host(value)), value).otherwise(away)
-    direct = href.rlike("^https?://") & readable(href) & ~is_engine_host(url_host(href))
-    goto, redirect = href.startswith("/goto"), href.startswith("/url")
-    form = (
-        F.when(goto, "encrypted").when(redirect & away.isNotNull(), "redirect").when(~redirect & direct, "direct")
-    )
-    dest = F.when(form == "redirect", away).when(form == "direct", href)
-    return F.struct(
-        F.coalesce(dest, F.lit("")).alias("dest"),
-        F.coalesce(form, F.lit("")).alias("form"),
-        form.isNotNull().alias("ok"),
-    )
+    def dest(href: Column) -> Column:
+        query = F.regexp_extract(href, r"^[^?#]*\?([^#]*)", 1)
+        redirect = F.coalesce(_away(query_parameter(query, "q")), _away(query_parameter(query, "url")))
+        return (
+            F.when(href.startswith("/goto"), "")
+            .when(href.startswith("/url"), redirect)
+            .when(href.rlike("^https?://"), _away(href))
+        )
+
+    def link(href: Column, dest: Column) -> Column:
+        form = F.when(href.startswith("/goto"), "encrypted").when(href.startswith("/url"), "redirect").otherwise("direct")
+        return F.struct(
+            F.coalesce(dest, F.lit("")).alias("dest"),
+            F.when(dest.isNotNull(), form).otherwise("").alias("form"),
+            dest.isNotNull().alias("ok"),
+        )
+
+    return let(strip(c), lambda href: let(dest(href), lambda d: link(href, d)))
 
 
 def untranslated(c: Column | str) -> Column:
