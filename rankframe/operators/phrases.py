@@ -8,6 +8,7 @@ the choice of the best cut, a few lines over one phrase, runs in Python.
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankframe.functions.urls import SPACE_RUN, SPACES, _col
 from rankframe.functions.vectors import dequantised, unit
@@ -54,7 +55,7 @@ def _best_cut(edges: list, length: int, unknown_id: int, unknown_score: float) -
     return out[::-1][:MAX_TOKENS]
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _cut(edges: pd.Series, length: pd.Series, unknown_id: pd.Series, unknown_score: pd.Series) -> pd.Series:
     asked = zip(edges, length, unknown_id, unknown_score)
     return pd.Series([_best_cut(list(e), int(n), int(u), float(s)) for e, n, u, s in asked])

@@ -6,6 +6,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankframe.functions.text import fields
 from rankframe.functions.urls import strip
@@ -170,7 +171,7 @@ def drop_echoes(completions: DataFrame, text: str = "text") -> DataFrame:
     return completions.where(~is_echo(F.col(text), F.col("letter"), F.col("echo"), F.col("lang")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _entities(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

@@ -38,8 +38,8 @@ def expand_queries(t: Tables) -> DataFrame:
 @query(
     "query_list",
     """WITH lines AS (
-         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents)
-       SELECT row_number() OVER (ORDER BY doc_id, at) - 1 AS ordinal, trim(line) AS text FROM lines
+         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)
+       SELECT row_number() OVER (ORDER BY doc_id, place) - 1 AS ordinal, trim(line) AS text FROM lines
        WHERE trim(line) <> '' AND trim(line) NOT LIKE '#%'""",
 )
 def query_list(t: Tables) -> DataFrame:
@@ -109,7 +109,7 @@ def suggest_variants_limited(t: Tables) -> DataFrame:
 @query(
     "drop_echoes",
     """SELECT key, CAST(variant AS BIGINT) AS variant, completion FROM (
-         SELECT *, CASE variant % 4 WHEN 0 THEN upper(text) WHEN 1 THEN text || ' kaufen' WHEN 2 THEN key || letter || ' x' ELSE key END AS completion
+         SELECT *, CASE variant % 4 WHEN 0 THEN replace(text, 'r', 'R') WHEN 1 THEN text || ' kaufen' WHEN 2 THEN key || letter || ' x' ELSE key END AS completion
          FROM asked)
        WHERE NOT (letter <> '' AND NOT regexp_matches(letter, '^[0-9]$')
          AND NOT list_contains(CASE lang WHEN 'de' THEN CAST([] AS VARCHAR[]) ELSE ['a', 'i'] END, letter)
@@ -119,7 +119,7 @@ def suggest_variants_limited(t: Tables) -> DataFrame:
 def drop_echoes(t: Tables) -> DataFrame:
     v = F.col("variant") % 4
     made = (
-        F.when(v == 0, F.upper("text")).when(v == 1, F.concat("text", F.lit(" kaufen")))
+        F.when(v == 0, F.replace("text", F.lit("r"), F.lit("R"))).when(v == 1, F.concat("text", F.lit(" kaufen")))
         .when(v == 2, F.concat("key", "letter", F.lit(" x"))).otherwise(F.col("key"))
     )
     rows = S.suggest_variants(_keys(t), multiword=True).withColumn("completion", made)
