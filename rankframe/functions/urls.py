@@ -57,10 +57,36 @@ def strip(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(SPACES))
 
 
+# One pass over an address: scheme, host, path and query, marked off by a
+# character no readable address holds.
+_MARK = "\x01"
+_PARTS = _SPLIT + r"(?s:.*)$"
+
+
+def url_parts(c: Column | str) -> Column:
+    """An address taken apart once: array of scheme, host, path and query;
+    null where it does not read as an address that names a host."""
+    c = _col(c)
+    cut = F.split(F.regexp_replace(c, _PARTS, f"$1{_MARK}$2{_MARK}$3{_MARK}$4"), _MARK, 4)
+    return let(cut, lambda p: F.when((F.size(p) == 4) & (F.get(p, F.lit(1)) != "") & ~c.rlike(_UNREADABLE), p))
+
+
+def _part(p: Column, at: int) -> Column:
+    return F.get(p, F.lit(at))
+
+
+def _host_of(p: Column) -> Column:
+    return F.btrim(_part(p, 1), F.lit("[]"))
+
+
+def _path_of(p: Column) -> Column:
+    raw = _part(p, 2)
+    return F.when(raw.rlike(_PATH_REWRITE), path_encode(percent_decode(raw))).otherwise(raw)
+
+
 def readable(c: Column | str) -> Column:
     """Whether a text reads as an address that names a host."""
-    c = _col(c)
-    return (F.regexp_extract(c, _SPLIT, 2) != "") & ~c.rlike(_UNREADABLE)
+    return url_parts(c).isNotNull()
 
 
 def url_scheme(c: Column | str) -> Column:
@@ -69,9 +95,7 @@ def url_scheme(c: Column | str) -> Column:
 
 def url_host(c: Column | str) -> Column:
     """The host of an address without port or brackets, '' where it has none."""
-    c = _col(c)
-    host = F.btrim(F.regexp_extract(c, _SPLIT, 2), F.lit("[]"))
-    return F.when(readable(c), host).otherwise(F.lit(""))
+    return let(url_parts(c), lambda p: F.when(p.isNotNull(), _host_of(p)).otherwise(F.lit("")))
 
 
 def url_query(c: Column | str) -> Column:
@@ -105,27 +129,36 @@ def url_path(c: Column | str) -> Column:
     return F.when(raw.rlike(_PATH_REWRITE), path_encode(percent_decode(raw))).otherwise(raw)
 
 
+def _bare(host: Column) -> Column:
+    """A host in lower case without its last dot and a leading www."""
+    host = F.lower(host)
+    undotted = let(host, lambda h: F.when(h.endswith("."), F.substring(h, F.lit(1), F.length(h) - 1)).otherwise(h))
+    return let(undotted, lambda h: F.when(h.startswith("www."), F.substring(h, F.lit(5), F.length(h))).otherwise(h))
+
+
 def normalise_site(c: Column | str) -> Column:
     """A site as typed, reduced to its host; a port is kept."""
-    out = F.regexp_replace(F.lower(strip(c)), r"(?s)^.*?://", "")
-    out = F.regexp_replace(out, r"(?s)[/?#].*$", "")
-    return F.regexp_replace(F.regexp_replace(out, r"\.\z", ""), r"^www\.", "")
+    return _bare(F.regexp_extract(strip(c), r"^(?:(?s:.*?)://)?([^/?#]*)", 1))
 
 
 def canonical_url(c: Column | str) -> Column:
     """The one spelling two addresses are compared by; path case is kept."""
-    typed = strip(c)
-    host = normalise_site(url_host(typed))
-    path = F.regexp_replace(url_path(typed), r"/\z", "")
-    query = url_query(typed)
-    tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
-    return F.when(readable(typed), F.concat(host, path, tail)).otherwise(F.lower(typed))
+
+    def spelled(typed: Column, p: Column) -> Column:
+        path, query = _path_of(p), _part(p, 3)
+        path = let(path, lambda x: F.when(x.endswith("/"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+        tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+        return F.when(p.isNotNull(), F.concat(_bare(_host_of(p)), path, tail)).otherwise(F.lower(typed))
+
+    return let(strip(c), lambda typed: let(url_parts(typed), lambda p: spelled(typed, p)))
 
 
 def canonical_host(c: Column | str) -> Column:
     """The site an address or a bare host belongs to."""
-    typed = strip(c)
-    return normalise_site(F.when(readable(typed), url_host(typed)).otherwise(_col(c)))
+    return let(
+        strip(c),
+        lambda typed: let(url_parts(typed), lambda p: F.when(p.isNotNull(), _bare(_host_of(p))).otherwise(normalise_site(typed))),
+    )
 
 
 def same_url(a: Column | str, b: Column | str) -> Column:
@@ -159,13 +192,11 @@ def host_suffixes(host: Column | str) -> Column:
     """A host and every domain above it: the sites it belongs to. Turns "is it
     this site or below it" into equality, so matching sites is a hash join."""
     labels = F.split(normalise_site(host), r"\.")
-    return F.when(
-        normalise_site(host) != "",
-        F.transform(
-            F.sequence(F.lit(1), F.size(labels)),
-            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    above = let(
+        labels,
+        lambda l: F.transform(F.sequence(F.lit(1), F.size(l)), lambda i: F.array_join(F.slice(l, i, F.size(l)), ".")),
+    )
+    return F.array_remove(above, "")
 
 
 def site_query(c: Column | str) -> Column:
