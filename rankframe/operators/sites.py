@@ -4,7 +4,7 @@
 suffixes, so every question is a hash join and never a product of two tables.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankframe.functions.urls import (
@@ -22,7 +22,7 @@ from rankframe.functions.urls import (
     url_host,
 )
 from rankframe.operators.record import POSITIONS_PER_CHUNK, QUERY, ROW
-from rankframe.operators.running import Measure, firsts, numbered, running
+from rankframe.operators.running import Measure, firsts, running
 
 SAMPLE = 3
 RESULTS_PER_PAGE = 10
@@ -108,21 +108,18 @@ def index_verdicts(pages: DataFrame, results: DataFrame, targets: DataFrame) ->
 
     ``targets`` is (job_id, ordinal, site). Only a page that was read answers:
     a query without page 1 in ``pages`` gives no verdict. The sample is the
-    first three hits, picked by number before they are gathered.
+    first three hits, picked before they are gathered.
     """
     asked = _asked(targets)
     hits = _offers(results.where(F.col("page") == 1), *ROW, "title").join(asked, [*QUERY, "__how", "__wanted"])
-    placed = numbered(
-        hits.select(*QUERY, "site", "position", "title"),
-        [*QUERY, "site"],
-        [F.floor(F.col("position") / POSITIONS_PER_CHUNK)],
-        ["position"],
-        "__at",
-    )
-    first = F.when(F.col("__at") <= SAMPLE, F.struct("__at", "title"))
-    told = placed.groupBy(*QUERY, "site").agg(
-        F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list(first)).alias("__sample")
-    )
+    by = [*QUERY, "site"]
+    # Both are reduced before the shuffle: the count by its partial sums, the
+    # sample by the first three rows each task has of a question.
+    counted = hits.groupBy(*by).agg(F.count(F.lit(1)).alias("hits"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("position"))
+    first = hits.select(*by, "position", "title").withColumn("__at", place).where(F.col("__at") <= SAMPLE)
+    samples = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("position", "title"))).alias("__sample"))
+    told = counted.join(samples, by)
     read = pages.where(F.col("page") == 1).select(*QUERY)
     return (
         asked.select(*QUERY, "site")

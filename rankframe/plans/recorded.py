@@ -30,7 +30,7 @@ def site_history(t: Tables) -> DataFrame:
 
 @query("cumulative_rank", "SELECT job_id, ordinal, page, position, rank FROM h_ranked", history=True)
 def cumulative_rank(t: Tables) -> DataFrame:
-    return t.h_ranked.select(*R.ROW, "rank")
+    return R.cumulative_rank(t.h_results).select(*R.ROW, "rank")
 
 
 _CANON = "regexp_replace(lower(regexp_extract(url, '^https?://([^/]*)', 1)), '^www\\.', '')"

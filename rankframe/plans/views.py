@@ -4,6 +4,7 @@ Both sides use the same expressions, so an operator's answer over the Spark
 view can be laid beside plain SQL over the same parquet files.
 """
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rankframe.operators.record import QUERY
 from rankframe.operators.running import numbered
+from rankframe.session import shared_folder
 
 IDS_PER_CHUNK = 65536
 LINE_ORDER = [
@@ -94,8 +96,25 @@ DRIVER_TABLES = {
 }
 
 
+# Where a session has recorded a history: (application, folder, table) -> path.
+_RECORDED: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
-    """The driver's tables under one folder, and the history seen in them."""
+    """The driver's tables under one folder, and the history seen in them.
+
+    The history is *recorded*: arrivals and ranked results are written once per
+    session to the cluster's shared folder and read from there, as any stored
+    history would be. Every question asked of it is worked out anew.
+    """
+
+    def _recorded(self, name: str, rows: DataFrame) -> DataFrame:
+        at = (self.spark.sparkContext.applicationId, self.folder, name)
+        if at not in _RECORDED:
+            path = f"{shared_folder(self.spark).rstrip('/')}/history-{uuid.uuid4().hex}/{name}"
+            rows.write.parquet(path)
+            _RECORDED[at] = path
+        return self.spark.read.schema(rows.schema).parquet(_RECORDED[at])
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -173,13 +192,14 @@ class Tables:
             F.col("l_quantity").cast("int").alias("quantity"),
         )
         owners = self.h_queries.select("query_id", *QUERY)
-        return rows.join(owners, "query_id").drop("query_id")
+        return self._recorded("arrivals", rows.join(owners, "query_id").drop("query_id"))
 
     @cached_property
     def h_ranked(self) -> DataFrame:
         from rankframe.operators.record import cumulative_rank
 
-        return cumulative_rank(self.h_results)
+        # Sorted by host, so a site's history skips most of each file.
+        return self._recorded("results", cumulative_rank(self.h_results).sortWithinPartitions("host"))
 
     @cached_property
     def h_pages(self) -> DataFrame:
