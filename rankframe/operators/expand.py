@@ -17,6 +17,7 @@ from rankframe.operators.running import numbered
 MAX_PER_QUERY = 1_000_000
 ROWS_PER_CHUNK = 65536
 BLOCK = 1024
+CHUNKS_TOGETHER = 4096
 DEFAULT_FORMAT = "{query}"
 
 
@@ -175,5 +176,5 @@ def expand_queries(queries: DataFrame, formats: Sequence[str]) -> DataFrame:
         chunk = [F.floor(F.col("__o") / max(1, ROWS_PER_CHUNK // per_query))]
     else:
         chunk = [F.col("__o"), F.col("__f"), F.floor(F.col("__k") / ROWS_PER_CHUNK)]
-    placed = numbered(flat, [], chunk, ["__o", "__f", "__k"], "__n")
+    placed = numbered(flat, [], chunk, ["__o", "__f", "__k"], "__n", coarser=CHUNKS_TOGETHER)
     return placed.select((F.col("__n") - 1).alias("ordinal"), "query")

@@ -82,8 +82,10 @@ def first_seen(results: DataFrame, by: Column | str, seen: DataFrame | None = No
         keyed, ["job_id", F.col("__key").alias("__k"), alone.alias("__alone")], ["ordinal", "page", "position"]
     )
     if seen is not None:
+        # Rows without a key stay out of the join: they would all meet in one task.
         known = seen.select("job_id", F.col("key").alias("__key"))
-        kept = kept.join(known, ["job_id", "__key"], "left_anti").select(*kept.columns)
+        new = kept.where("__key is not null").join(known, ["job_id", "__key"], "left_anti").select(*kept.columns)
+        kept = new.unionByName(kept.where("__key is null"))
     return kept.drop("__key")
 
 

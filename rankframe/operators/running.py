@@ -32,6 +32,10 @@ class Measure:
             return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
         return F.greatest(carried, local) if self.kind == "max" else F.least(carried, local)
 
+    def over_totals(self, total: Column) -> "Measure":
+        """The measure of chunk totals that comes to what the chunks before hold."""
+        return Measure("sum" if self.kind == "count" else self.kind, total, inclusive=False)
+
     def carry(self, total: Column) -> Column:
         return F.sum(total) if self.kind in ("count", "sum") else getattr(F, self.kind)(total)
 
@@ -43,13 +47,17 @@ def running(
     order: Sequence[str],
     measures: dict[str, Measure],
     descending: bool = False,
+    coarser: int = 0,
+    level: int = 0,
 ) -> DataFrame:
     """Add running measures over ``keys`` in ``order``.
 
     ``chunk`` must never fall as the order rises (a page number, a time bucket,
-    an id divided by a constant), and keys and chunk must not be null.
+    an id divided by a constant), and keys and chunk must not be null. Where a
+    group may have very many chunks (no keys at all, say), ``coarser`` gathers
+    that many values of the first chunk column and carries over those first.
     """
-    marks = [f"__chunk{i}" for i in range(len(chunk))]
+    marks = [f"__chunk{level}_{i}" for i in range(len(chunk))]
     rows = frame.withColumns(dict(zip(marks, chunk)))
     part = [*keys, *marks]
 
@@ -67,10 +75,15 @@ def running(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     totals = rows.groupBy(*part).agg(*[m.total().alias(f"__total_{n}") for n, m in measures.items()])
-    carried = totals.select(
-        *part,
-        *[m.carry(F.col(f"__total_{n}")).over(before).alias(f"__carried_{n}") for n, m in measures.items()],
-    )
+    if coarser:
+        sums = {f"__carried_{n}": m.over_totals(F.col(f"__total_{n}")) for n, m in measures.items()}
+        first = [F.floor(F.col(marks[0]) / coarser)]
+        carried = running(totals, keys, first, marks, sums, descending, level=level + 1)
+    else:
+        carried = totals.select(
+            *part,
+            *[m.carry(F.col(f"__total_{n}")).over(before).alias(f"__carried_{n}") for n, m in measures.items()],
+        )
     local = rows.withColumns({f"__local_{n}": m.total().over(upto[m.inclusive]) for n, m in measures.items()})
     return local.join(carried, part, "left").select(
         *frame.columns,
@@ -79,10 +92,10 @@ def running(
 
 
 def numbered(
-    frame: DataFrame, keys: Sequence[str], chunk: Sequence[Column], order: Sequence[str], name: str
+    frame: DataFrame, keys: Sequence[str], chunk: Sequence[Column], order: Sequence[str], name: str, coarser: int = 0
 ) -> DataFrame:
     """Number each group's rows 1, 2, 3, … in order."""
-    return running(frame, keys, chunk, order, {name: Measure("count")})
+    return running(frame, keys, chunk, order, {name: Measure("count")}, coarser=coarser)
 
 
 def firsts(frame: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:

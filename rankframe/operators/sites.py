@@ -172,25 +172,27 @@ def resolve_from_lookup(results: DataFrame, lookups: DataFrame) -> DataFrame:
     none, else resolved, failed, or untried where no answer was captured.
     """
     needed = (F.col("url") == "") & (F.col("link") != "")
-    rows = results.withColumn("__link", F.when(needed, absolute_link("origin", "link")["url"]))
+    # Only what needs an answer is joined: the rest has no link to meet by.
+    settled = results.where(~needed).withColumn("resolution", F.lit(""))
+    asked = results.where(needed).withColumn("__link", F.coalesce(absolute_link("origin", "link")["url"], F.col("link")))
     answers = lookups.select(F.col("link").alias("__link"), "status", "location")
-    answered = rows.join(answers, "__link", "left")
+    answered = asked.join(answers, "__link", "left")
     place = F.col("location")
     redirected = (F.col("status") >= 300) & (F.col("status") < 400) & readable(place)
     host = F.lower(url_host(place))
     own = is_engine_host(host) | host.endswith(".translate.goog")
     got = F.when(redirected, F.coalesce(untranslated(place), F.when(~own, place)))
+    joined = absolute_link("origin", "link")["error"].isNull()
     told = (
-        F.when(~needed, "")
-        .when(got.isNotNull(), "resolved")
-        .when(F.col("__link").isNull() | F.col("status").isNotNull(), "failed")
+        F.when(F.col("__got").isNotNull(), "resolved")
+        .when(~joined | F.col("status").isNotNull(), "failed")
         .otherwise("untried")
     )
-    return answered.select(
-        *[F.when(needed, F.coalesce(got, F.lit(""))).otherwise(F.col("url")).alias("url") if c == "url" else F.col(c)
-          for c in results.columns],
+    found = answered.withColumn("__got", got).select(
+        *[F.coalesce("__got", F.lit("")).alias("url") if c == "url" else F.col(c) for c in results.columns],
         told.alias("resolution"),
-    )
+    )
+    return settled.unionByName(found)
 
 
 def resolve_report(resolved: DataFrame, keys: list[str]) -> DataFrame:

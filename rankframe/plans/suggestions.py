@@ -47,7 +47,7 @@ def query_list(t: Tables) -> DataFrame:
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     kept = lines.select("doc_id", "at", F.trim("line").alias("text")).where("text != '' and not startswith(text, '#')")
     chunk = [F.floor(F.col("doc_id") / 64)]
-    return numbered(kept, [], chunk, ["doc_id", "at"], "n").select((F.col("n") - 1).alias("ordinal"), "text")
+    return numbered(kept, [], chunk, ["doc_id", "at"], "n", coarser=4096).select((F.col("n") - 1).alias("ordinal"), "text")
 
 
 def _sql_list(values: list[str]) -> str:

@@ -100,6 +100,8 @@ def test_running_measures_against_a_loop(spark):
             upto = [v for k, i, v in rows if k == r.k and i <= r.at]
             assert (r.n, r.most) == (len(upto), max(upto))
             assert (r.before, r.least_after) == (sum(upto[:-1]), min(upto[:-1], default=None))
+        two = running(frame, ["k"], [F.floor(F.col("at") / width)], ["at"], measures, coarser=3)
+        assert sorted(map(str, two.collect())) == sorted(map(str, got))
         down = running(
             frame, ["k"], [F.floor(F.col("at") / width)], ["at"], {"next": Measure("min", F.col("at"), inclusive=False)}, descending=True
         )
@@ -112,7 +114,7 @@ def test_a_group_of_a_third_of_all_rows_is_split(spark):
     rows = running(frame, ["k"], [F.floor(F.col("id") / 100)], ["id"], {"n": Measure("count")})
     assert rows.where("k = 0").agg(F.max("n")).first()[0] == 10000
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "__chunk0" in plan and "hashpartitioning(k" in plan
+    assert "__chunk0_0" in plan and "hashpartitioning(k" in plan
     one = frame.where("k = 0").withColumns({"job_id": F.lit(1), "ordinal": F.lit(0), "page": F.lit(1), "position": F.col("id")})
     copies = one.withColumns({"url": F.lit("https://a.b/"), "host": F.lit(""), "title": F.lit("")})
     assert R.first_seen(copies, F.lit("url")).count() == 1
