@@ -41,9 +41,12 @@ def local_session(cores: int | str = "*", app: str = "rankframe") -> SparkSessio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named."""
+    """The cluster's shared folder. On one machine that names none, a temporary
+    one; a cluster has to name its own, since a local folder is lost with its node."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
         folder = tempfile.mkdtemp(prefix="rankframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
