@@ -172,13 +172,16 @@ def _with_scheme(c: Column) -> Column:
 def split_site(c: Column | str) -> Column:
     """What a site question asks: struct(want_url, want_host). A path makes it
     a question about a page, anything else one about the site."""
-    typed = _with_scheme(_col(c))
-    plain = F.btrim(F.regexp_extract(typed, _SPLIT, 3), F.lit("/"))
-    paged = readable(typed) & (plain != "")
-    return F.struct(
-        F.when(paged, typed).otherwise(F.lit("")).alias("want_url"),
-        normalise_site(F.when(readable(typed), url_host(typed)).otherwise(_col(c))).alias("want_host"),
-    )
+    c = _col(c)
+
+    def asked(typed: Column, p: Column) -> Column:
+        paged = p.isNotNull() & (F.btrim(_part(p, 2), F.lit("/")) != "")
+        return F.struct(
+            F.when(paged, typed).otherwise(F.lit("")).alias("want_url"),
+            F.when(p.isNotNull(), _bare(_host_of(p))).otherwise(normalise_site(c)).alias("want_host"),
+        )
+
+    return let(_with_scheme(c), lambda typed: let(url_parts(typed), lambda p: asked(typed, p)))
 
 
 def host_belongs_to(host: Column | str, want: Column | str) -> Column:
@@ -201,10 +204,11 @@ def host_suffixes(host: Column | str) -> Column:
 
 def site_query(c: Column | str) -> Column:
     """The index question for an address: site: with host and path."""
-    typed = _with_scheme(strip(c))
-    path = F.regexp_replace(url_path(typed), r"/+\z", "")
-    asked = F.when(readable(typed), F.concat(normalise_site(url_host(typed)), path)).otherwise(normalise_site(c))
-    return F.concat(F.lit("site:"), asked)
+    def asked(p: Column) -> Column:
+        path = F.regexp_replace(_path_of(p), r"/+\z", "")
+        return F.when(p.isNotNull(), F.concat(_bare(_host_of(p)), path)).otherwise(normalise_site(c))
+
+    return F.concat(F.lit("site:"), let(_with_scheme(strip(c)), lambda typed: let(url_parts(typed), asked)))
 
 
 def is_engine_host(c: Column | str) -> Column:

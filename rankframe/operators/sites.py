@@ -56,7 +56,10 @@ def _asked(sites: DataFrame) -> DataFrame:
     return asked.select(
         *sites.columns,
         F.when(page, "url").otherwise("host").alias("__how"),
-        F.when(page, canonical_url("__want.want_url")).otherwise(F.col("__want.want_host")).alias("__wanted"),
+        # Never null, said so that joins need not look: see ``split_site``.
+        F.coalesce(
+            F.when(page, canonical_url("__want.want_url")).otherwise(F.col("__want.want_host")), F.lit("")
+        ).alias("__wanted"),
     )
 
 
