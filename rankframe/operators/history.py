@@ -129,7 +129,7 @@ def result_count(results: DataFrame, job: int | None = None) -> DataFrame:
 
 
 def latest_rows(queries: DataFrame, results: DataFrame, job: int, limit: int) -> DataFrame:
-    """A job's last results, newest first: cut to the limit before the join."""
+    """A job's last results, newest first: a bounded top-k, no full sort."""
     newest = [F.col("settled_at").desc_nulls_last(), F.col("ordinal").desc(), F.col("rank").desc()]
     when = _of(queries, job).select(*QUERY, F.col("text").alias("query"), "settled_at")
     return _of(results, job).join(when, QUERY).orderBy(*newest).limit(limit)

@@ -29,7 +29,9 @@ def stream_first_seen(results: DataFrame, by: Column | str, within: tuple[str, s
 
     The keys seen are kept for good, as the promise needs. With ``within`` =
     (moment column, delay) they are forgotten after the delay: less state, and
-    a repeat that comes later than that passes.
+    a repeat that comes later than that passes. Copies are shuffled by key before
+    the state sees them: where one key makes up much of a stream, ``record_batch``
+    reduces the copies of a batch first.
     """
     keyed = results.withColumn("__key", seen_key(by))
     alone, known = keyed.where("__key is null"), keyed.where("__key is not null")
