@@ -5,7 +5,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankframe.llm import exact_dedup, mixing, packing, sharding
+from rankframe.llm import (
+    exact_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    personal_data,
+    quality,
+    secret_scan,
+    sharding,
+    substring_dedup,
+)
 from rankframe.llm.common import documents
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +40,21 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op1_near_dedup")
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, folder))
+
+
+@query("op2_personal_data")
+def private(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data(documents(spark, folder))
+
+
+@query("op3_secret_scan")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scanned(documents(spark, folder))
+
+
 @query("op5_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(documents(spark, folder), word_tokenizer())
@@ -64,18 +89,30 @@ def mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op7_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(documents(spark, folder))
+
+
 @query("op8_sharding")
 def shards(spark: SparkSession, folder: str) -> DataFrame:
-    rows = sharding.write_shards(documents(spark, folder))
-    return rows.select(
+    key = F.col("doc_id")
+    rows = sharding.write_shards(documents(spark, folder)).select(
         "doc_id",
         sharding.size_of(F.col("text")).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
         "shard",
-        "slot",
-        sharding.grown(F.col("doc_id"), F.col("shard"), sharding.SHARDS).alias("grown_shard"),
+        "bucket",
+        "place",
+        sharding.grown(key, F.col("shard"), sharding.SHARDS).alias("grown_shard"),
     )
+    return sharding.with_slots(rows).drop("bucket", "place")
+
+
+@query("op9_substring_dedup")
+def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.without_repeats(documents(spark, folder))
 
 
 EXACT_SQL = """

@@ -81,21 +81,25 @@ def scattered(
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
-    """Buckets of a shard follow one another; ``slot`` counts through them."""
+    """Rows with shard, bucket and place: buckets of a shard follow one another,
+    and ``slot`` counts through them. Where only some columns are wanted, select
+    them first: with very many buckets the rows are shuffled for it."""
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    # Written first, so that its size is known where the join is planned.
+    offsets = settled(offsets, "offsets")
     return placed.join(offsets, ["shard", "bucket"]).withColumn("slot", F.col("__before") + F.col("place")).drop("__before")
 
 
 def write_shards(docs: DataFrame, path: str | None = None, **how) -> DataFrame:
-    """Both passes, written to ``path`` (or to the shared folder) and read back
-    with each record's ``slot``."""
+    """Both passes, written to ``path`` (or to the shared folder) and read back:
+    the documents with shard, bucket and place, ready for ``with_slots``."""
     placed = scattered(docs, **how)
     if path is None:
-        return with_slots(settled(placed, "shards"))
+        return settled(placed, "shards")
     placed.write.parquet(path)
-    return with_slots(docs.sparkSession.read.schema(placed.schema).parquet(path))
+    return docs.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def grown(key: Column, shard: Column, shards: int, seed: int = SEED) -> Column:
