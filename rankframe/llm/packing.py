@@ -17,9 +17,10 @@ are left alone.
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,43 +28,95 @@ from pyspark.sql import functions as F
 from rankframe.llm.common import settled
 
 CAPACITY, END, NEARLY_FULL, PER_TASK, FAN = 4096, 1, 0.995, 50_000, 8
-# Words a task remembers the ids of.
-KNOWN_WORDS = 500_000
+# Words a task remembers the ids of, and words it looks up at once.
+KNOWN_WORDS, AT_ONCE = 600_000, 100_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\x20\x09-\x0d]+")
+_MARKS = "".join(c for c in map(chr, range(256)) if not c.isalnum() and not c.isspace())
 
 
 class _Words(dict):
-    """The packed ids of a word, worked out once."""
+    """The packed ids of a word, worked out once. The tokenizer drops white space
+    and no token crosses it, nor the step from a letter to a mark."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+    def _keep(self, word: str, packed: bytes) -> bytes:
         if len(self) >= KNOWN_WORDS:
             self.clear()
         if len(word) <= 64:
             self[word] = packed
         return packed
 
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_MARKS)
+        if core != word and core.isalpha() and _latin(word):
+            return self._keep(word, self[core] + self[word[len(core) :]])
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return self._keep(word, b"".join(i.to_bytes(4, "little") for i in ids))
+
+    def learn(self, words: set[str]) -> None:
+        """Encode what is unknown, many plain words in one call: each ends with a
+        token that only ends words."""
+        cores = {w.rstrip(_MARKS) for w in words.difference(self)}
+        plain = [w for w in cores.difference(self) if w.isalpha() and len(w) <= 64 and _latin(w)]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            packed = np.array(ids, "<u4")
+            bounds = [0, *(4 * (np.flatnonzero(self.ends[packed]) + 1)).tolist()]
+            if len(bounds) == len(some) + 1:
+                whole = packed.tobytes()
+                for word, start, end in zip(some, bounds, bounds[1:]):
+                    self._keep(word, whole[start:end])
+
+
+def _latin(text: str) -> bool:
+    """Only characters that lower-casing and composing treat one by one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 @lru_cache(maxsize=1)
 def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit numbers. The tokenizer
-    drops white space and no token crosses it, so words are encoded one by one."""
+def _split(text: str | None) -> list[str]:
     if not text:
-        return b""
+        return []
+    if "<|" not in text and _latin(text):
+        text = text.lower()
     # Python also splits at these; the tokenizer does not.
-    parts = _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
-    return b"".join(map(_words(path).__getitem__, parts))
+    return [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
+
+
+def token_bytes(texts: Iterable[str | None], path: str) -> Iterator[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers."""
+    known = _words(path)
+    held, fresh, n = [], set(), 0
+    for text in texts:
+        words = _split(text)
+        held.append(words)
+        fresh.update(words)
+        n += len(words)
+        if n >= AT_ONCE:
+            known.learn(fresh)
+            for some in held:
+                yield b"".join(map(known.__getitem__, some))
+            held, fresh, n = [], set(), 0
+    known.learn(fresh)
+    for some in held:
+        yield b"".join(map(known.__getitem__, some))
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -73,8 +126,9 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, numbers, starts, lengths, sums = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packed = memoryview(token_bytes(text.as_py(), tokenizer) + last)
+            texts = (text.as_py() for text in batch.column(1))
+            for key, tokens in zip(batch.column(0).to_pylist(), token_bytes(texts, tokenizer)):
+                packed = memoryview(tokens + last)
                 for n, at in enumerate(range(0, len(packed), 4 * capacity)):
                     piece = packed[at : at + 4 * capacity]
                     ids.append(key)
