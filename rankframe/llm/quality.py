@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rankframe.llm.common import settled
 from rankframe.llm.wording import words_of
@@ -73,7 +74,7 @@ def counted(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
-@F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
 def statistics(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([counted(t) for t in text], columns=list(COUNTS), dtype="int64")
 

@@ -130,9 +130,9 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     each = found.where(F.size("found") > 0).select("id", "repository", "owner", F.explode("found").alias("c"))
     counts = settled(ownership(each.select("repository", "owner", F.col("c.hash").alias("hash"))), "owners")
     marks = each.select("id", F.col("c.hash").alias("hash")).distinct().join(counts, "hash")
-    marks = marks.groupBy("id").agg(F.collect_list(F.struct("hash", "owners")).alias("marks"))
+    marks = marks.groupBy(F.col("id").alias("held_by")).agg(F.collect_list(F.struct("hash", "owners")).alias("marks"))
     verdict = F.pandas_udf(
         _verdict, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_example long"
     )
-    whole = found.join(marks, found["id"].eqNullSafe(marks["id"]), "left").select(found["id"], verdict("found", "marks").alias("v"))
+    whole = found.join(marks, F.col("id").eqNullSafe(F.col("held_by")), "left").select("id", verdict("found", "marks").alias("v"))
     return whole.select(F.col("id").alias(id_col), "v.*")
