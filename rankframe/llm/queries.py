@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankframe.llm import (
     exact_dedup,
+    html_text,
     mixing,
     near_dedup,
     packing,
@@ -55,6 +56,11 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scanned(documents(spark, folder))
 
 
+@query("op4_html_extraction")
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{folder.rstrip('/')}/pages.parquet"))
+
+
 @query("op5_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(documents(spark, folder), word_tokenizer())
@@ -126,3 +132,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 def exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     rows = exact_dedup.groups_of_copies(documents(spark, folder))
     return rows.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
