@@ -96,15 +96,12 @@ def without_copies(
     """The documents that stay, with all their columns: of equal texts the row
     with the largest id (of rows that share it, the one whose other columns
     come last as JSON). The text is the group's key, so no join follows."""
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    row = F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), *[F.col(f"`{c}`") for c in others])
+    # Columns go by their place, so that no name of theirs can clash.
+    held = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text_col}
+    row = F.struct(F.col(text_col).isNull().alias("none"), *[F.col(f"`{c}`").alias(f) for c, f in held.items()])
     rank = F.struct(F.col(id_col).alias("id"), F.to_json(row).alias("rest"))
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), row.alias("__row"), rank.alias("__rank"))
     best = lambda: [F.max_by("__row", "__rank").alias("__row"), F.max("__rank").alias("__rank")]
     kept = _combined(rows.withColumn("__digest", digest(F.col("__text"))), salts, best, best)
-    back = {
-        id_col: F.col("__row.id"),
-        text_col: F.when(~F.col("__row.none"), F.col("__text")),
-        **{c: F.col(f"__row.`{c}`") for c in others},
-    }
+    back = {c: F.col(f"__row.{f}") for c, f in held.items()} | {text_col: F.when(~F.col("__row.none"), F.col("__text"))}
     return kept.select(*[back[c].alias(c) for c in docs.columns])
