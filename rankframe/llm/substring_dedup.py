@@ -22,14 +22,14 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.llm.common import settled
-from rankframe.llm.wording import KNOWN_WORDS, mixed_bits
+from rankframe.llm.wording import ODD_SPACE, mixed_bits
 
+KNOWN_WORDS = 300_000
 LONG, LEAST_UNIT, LEAST_WORDS, LEAST_LINE = 16, 4, 10, 5
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -60,7 +60,8 @@ _KNOWN = _Known()
 
 def _worded(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The marks of all words, and the words before the end of each line."""
-    lines = [_WORD.findall(x) for x in text.split("\n")]
+    cut = str.split if not ODD_SPACE.search(text) else _WORD.findall
+    lines = [cut(x) for x in text.split("\n")]
     counts = np.cumsum([len(x) for x in lines])
     words = [w for x in lines for w in x]
     return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words)), counts
@@ -99,7 +100,7 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which.append(np.full(int(keep.sum()), i))
             parts.append((starts[keep], ends[keep], first[keep], second[keep]))
             held += len(which[-1])
-            if held > 200_000 or i == len(batch) - 1:
+            if held > 50_000 or i == len(batch) - 1:
                 at, to, one, two = (np.concatenate(x) for x in zip(*parts))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -114,10 +115,9 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 which, parts, held = [], [], 0
 
 
-def _runs(text: str, found: list[dict], least_words: int, least_line: int) -> list[tuple]:
-    """Removed spans of a text whose repeated units are known."""
+def _runs(text: str, repeated: dict[tuple[int, int], object], least_words: int, least_line: int) -> list[tuple]:
+    """Removed spans of a text; ``repeated`` has its repeated units, and who keeps each."""
     starts, ends, _, _ = units(text)
-    repeated = {(f["at"], f["to"]): f["first_id"] for f in found}
     spans = [m.span() for m in _WORD.finditer(text)]
     out, run = [], []
 
@@ -153,28 +153,41 @@ def without_repeats(
     the id of the document that keeps the run's first unit), ``kept`` spans and ``n_removed`` words."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.mapInArrow(_unit_rows, f"id {kind}, at int, to int, one long, two long")
+    rows = settled(texts.mapInArrow(_unit_rows, f"id {kind}, at int, to int, one long, two long"), "units")
     place = F.struct(F.col("id"), F.col("at"))
     many = rows.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     many = settled(many.where("NOT first <=> last").select("one", "two", "first"), "repeated")
-    later = rows.join(many, ["one", "two"]).where(~F.col("first").eqNullSafe(place))
-    found = later.groupBy("id").agg(F.collect_set(F.struct("at", "to", F.col("first.id").alias("first_id"))).alias("found"))
-    found = settled(found.where("id IS NOT NULL"), "found")
-
-    @F.pandas_udf("text string, removed " + REMOVED.format(kind) + ", kept array<struct<start:int,end:int>>, n_removed int")
-    def cut(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, f in zip(text, found):
-            gone = _runs(t, list(f), least_words, least_line) if t and f is not None and len(f) else []
-            edges = [0, *[x for g in gone for x in g[:2]], len(t or "")]
-            kept = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
-            out.append((
-                t if t is None else "".join(t[a:b] for a, b in kept),
-                [dict(zip(("start", "end", "first_id", "n_words"), g)) for g in gone],
-                [{"start": a, "end": b} for a, b in kept],
-                sum(g[3] for g in gone),
-            ))
-        return pd.DataFrame(out, columns=["text", "removed", "kept", "n_removed"])
-
-    joined = texts.join(found, "id", "left").select("id", cut("text", "found").alias("cut"))
-    return joined.select(F.col("id").alias(id_col), "cut.*")
+    later = rows.join(many, ["one", "two"]).where(~F.col("first").eqNullSafe(place) & F.col("id").isNotNull())
+    found = later.groupBy("id").agg(F.collect_set(F.struct("at", "to", F.col("first.id").alias("by"))).alias("u"))
+    # Plain arrays side by side are light to hand over.
+    found = settled(found.select("id", *[F.col(f"u.{f}").alias(f) for f in ("at", "to", "by")]), "found")
+    joined = texts.join(found, "id", "left").select("id", "text", "at", "to", "by")
+    schema = f"`{id_col}` {kind}, text string, removed {REMOVED.format(kind)}, kept array<struct<start:int,end:int>>, n_removed int"
+    return joined.mapInArrow(_cut(id_col, least_words, least_line), schema)
+
+
+def _cut(id_col: str, least_words: int, least_line: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.schema.field(0).type
+            numbers = [("start", pa.int32()), ("end", pa.int32())]
+            removed = pa.list_(pa.struct([*numbers, ("first_id", own), ("n_words", pa.int32())]))
+            left, gone, kept, count = [], [], [], []
+            for i in range(len(batch)):
+                text, at = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                runs = []
+                if text and at:
+                    units_ = zip(at, batch.column(3)[i].as_py())
+                    runs = _runs(text, dict(zip(units_, batch.column(4)[i].as_py())), least_words, least_line)
+                edges = [0, *[x for run in runs for x in run[:2]], len(text or "")]
+                spans = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+                left.append(text if not runs else "".join(text[a:b] for a, b in spans))
+                gone.append([dict(zip(("start", "end", "first_id", "n_words"), run)) for run in runs])
+                kept.append([{"start": a, "end": b} for a, b in spans])
+                count.append(sum(run[3] for run in runs))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(left, pa.string()), pa.array(gone, removed), pa.array(kept, pa.list_(pa.struct(numbers))), pa.array(count, pa.int32())],
+                names=[id_col, "text", "removed", "kept", "n_removed"],
+            )
+
+    return cut

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 # Python also splits at these; a word is a run of anything but ASCII white space.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 KNOWN_WORDS = 500_000
 
@@ -27,7 +27,7 @@ _HASHES = _Hashes()
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
-    if _ODD.search(text):
+    if ODD_SPACE.search(text):
         return [w for w in _SPACE.split(text) if w]
     return text.split()
 
