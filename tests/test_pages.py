@@ -1,8 +1,11 @@
 """Pages written for the shapes a result page comes in."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from rankframe.functions.page_tree import read_page
 from rankframe.operators import pages as P
 
 CAPTURE = "page int, status int, final_url string, html string"
@@ -91,10 +94,37 @@ def test_classes(spark, html, status, url, kind):
     assert read(spark, html, status, url)["class"] == kind
 
 
-def test_a_body_over_the_limit_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(P, "BODY_LIMIT", 100)
-    got = read(spark, result(1, "https://a.com/"))
-    assert (got["class"], got.error, got.results) == ("http", "body over the limit", [])
+def test_a_long_body_is_read_whole(spark):
+    got = read(spark, "<p>" + "x" * (9 * 1024 * 1024) + "</p>" + result(1, "https://a.com/"))
+    assert got["class"] == "serp" and got.results[0].title == "Title 1"
+
+
+@pytest.mark.parametrize("html", ['<a data-ved title="x>' * 50_000, "<a data-ved>" * 90_000, "<a data-ved><h3>x</h3>" + "</p>" * 250_000])
+def test_broken_markup_is_read_in_proportion(html):
+    began = time.time()
+    read_page(html)
+    assert len(html) > 999_999 and time.time() - began < 2
+
+
+def test_odd_quotes_and_links_in_links(spark):
+    title = result(1, "https://a.com/").replace("<a ", "<a title=it's ")
+    assert [r.link for r in read(spark, title).results] == ["https://a.com/"]
+    nested = '<div><a data-ved="1" href="https://a.com/"><b>no title</b><a data-ved="2" href="https://b.com/"><h3>B</h3></a></div>'
+    assert [(r.link, r.title) for r in read(spark, nested).results] == [("https://b.com/", "B")]
+
+
+def test_links_are_classified_once(spark):
+    serps = P.extract_serps(spark.createDataFrame([(1, 200, "", "")], CAPTURE))
+    plan = P.organic_results(serps, ["page"])._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x]
+    assert len(filters) == 1 and "isnotnull(position" in filters[0]
+
+
+def test_offsets_of_any_length(spark):
+    bar = '<div role="navigation"><a href="/search?start=%s">2</a><a href="/search?start=30">4</a></div>'
+    assert read(spark, result(1, "https://a.com/") + bar % ("9" * 18)).max_offset == int("9" * 18)
+    assert read(spark, result(1, "https://a.com/") + bar % "1000000000000000010").max_offset == 1000000000000000010
+    assert read(spark, result(1, "https://a.com/") + bar % ("9" * 30)).max_offset == 30
 
 
 def test_drift(spark):
