@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankframe.functions.urls import strip
 from rankframe.operators.running import numbered
 
-MAX_PER_QUERY = 1_000_000
+MOST = (1 << 63) - 1  # queries are numbered with 64 bits
 ROWS_PER_CHUNK = 65536
 BLOCK = 1024
 CHUNKS_TOGETHER = 4096
@@ -37,7 +37,7 @@ class Letters:
         total = 0
         for r in range(1, self.rounds + 1):
             total += len(self.alphabet) ** r
-            if total > MAX_PER_QUERY:
+            if total > MOST:
                 break
         return total
 
@@ -137,8 +137,8 @@ def parse_format(text: str) -> Format:
     if QUERY_PART not in parts:
         raise FormatError("the format has no {query}")
     made = Format(tuple(parts))
-    if made.count > MAX_PER_QUERY:
-        raise FormatError(f"the format makes more than {MAX_PER_QUERY} queries of each")
+    if made.count > MOST:
+        raise FormatError("the format makes more queries of each than can be numbered")
     return made
 
 

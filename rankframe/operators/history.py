@@ -11,7 +11,6 @@ from rankframe.functions.urls import class_in_text
 from rankframe.operators.record import QUERY
 
 PACE_WINDOW = "5 minutes"
-DEFAULT_LIMIT = 50
 # The order refusals are listed in where they are as common.
 REASONS = ("wall", "banned", "shell", "http", "empty", "serp", "silent")
 PAGE = ["job_id", "ordinal", "page"]
@@ -111,17 +110,17 @@ def success_share(queries: DataFrame, job: int | None = None) -> DataFrame:
     )
 
 
-def job_summaries(jobs: DataFrame, queries: DataFrame, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
-    """Jobs with their counts, newest first; jobs without queries included."""
-    counts = progress(queries)
+def job_summaries(jobs: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Jobs with their counts, newest first; jobs without queries included. With
+    a limit the newest jobs are picked first, and only theirs are counted."""
+    newest = [F.col("created_at").desc(), F.col("job_id").desc()]
+    shown = jobs if limit is None else jobs.orderBy(*newest).limit(limit)
+    asked = queries if limit is None else queries.join(shown.select("job_id"), "job_id", "left_semi")
     named = ("total", "done", "failed", "pending")
-    rows = jobs.join(counts, "job_id", "left").select(
+    rows = shown.join(progress(asked), "job_id", "left").select(
         "job_id", "name", "created_at", "kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in named]
     )
-    rows = rows.orderBy(F.col("created_at").desc(), F.col("job_id").desc())
-    if limit is None:
-        return rows
-    return rows.limit(limit if limit >= 1 else DEFAULT_LIMIT)
+    return rows.orderBy(*newest)
 
 
 def result_count(results: DataFrame, job: int | None = None) -> DataFrame:

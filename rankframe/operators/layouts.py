@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rankframe.functions.urls import absolute_link, displayed_link, search_url
 from rankframe.operators.running import firsts
 
-PREVIEW_RECORDS, PREVIEW_SCAN = 10, 10_000
+PREVIEW_RECORDS = 10
 CSV, TXT, JSONL = "csv", "txt", "jsonl"
 FORMATS = (CSV, TXT, JSONL)
 LF, CRLF = "\n", "\r\n"
@@ -133,10 +133,8 @@ def distinct_layout(rows: DataFrame, layout: Layout, order: Sequence[str]) -> Da
 
 
 def preview(rows: DataFrame, layout: Layout, order: Sequence[str]) -> DataFrame:
-    """The first ten records of the file, looked for in the first ten thousand."""
-    read = rows.orderBy(*order).limit(PREVIEW_SCAN)
-    if layout.unique:
-        read = distinct_layout(read, layout, order)
+    """The first ten records of the file."""
+    read = distinct_layout(rows, layout, order) if layout.unique else rows
     return read.orderBy(*order).limit(PREVIEW_RECORDS)
 
 

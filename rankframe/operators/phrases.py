@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from rankframe.functions.urls import SPACE_RUN, SPACES, _col
 from rankframe.functions.vectors import dequantised, unit
 
-MAX_TOKENS = 512
 UNKNOWN_PENALTY = 10.0
 SPACE_MARK = "▁"
 # ASCII punctuation: each mark stands by itself.
@@ -52,7 +51,7 @@ def _best_cut(edges: list, length: int, unknown_id: int, unknown_score: float) -
         if not (out and piece == unknown_id and out[-1] == unknown_id):
             out.append(piece)
         end = start
-    return out[::-1][:MAX_TOKENS]
+    return out[::-1]
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -61,29 +60,27 @@ def _cut(edges: pd.Series, length: pd.Series, unknown_id: pd.Series, unknown_sco
     return pd.Series([_best_cut(list(e), int(n), int(u), float(s)) for e, n, u, s in asked])
 
 
-def tokenise_phrases(phrases: DataFrame, vocab: DataFrame, unknown_id: int, median_chars: int = 0) -> DataFrame:
+def tokenise_phrases(phrases: DataFrame, vocab: DataFrame, unknown_id: int) -> DataFrame:
     """(phrase, tokens) of each distinct phrase: its pieces' ids in order.
 
-    A phrase is first cut to 512 times the median piece length where that is
-    given, then to 512 pieces.
+    Spans travel under a digest of their phrase, not with its text.
     """
     pieces = vocab.where(F.col("id") != unknown_id).select("piece", "id", F.col("score").cast("double").alias("score"))
     bounds = pieces.agg(
         F.max(F.char_length("piece")).alias("longest"), (F.min("score") - UNKNOWN_PENALTY).alias("unknown_score")
     )
     longest, unknown_score = bounds.select("longest").scalar(), bounds.select("unknown_score").scalar()
-    text = F.substring("phrase", 1, MAX_TOKENS * median_chars) if median_chars > 0 else F.col("phrase")
-    once = phrases.select("phrase").distinct().withColumn("text", normalise_phrase(text))
-    once = once.withColumns({"n": F.char_length("text"), "longest": longest})
+    once = phrases.select("phrase").distinct().withColumn("text", normalise_phrase("phrase"))
+    once = once.withColumns({"n": F.char_length("text"), "longest": longest, "key": F.md5("phrase")})
     starts = once.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     spans = starts.select(
-        "phrase", "start", "text",
-        F.explode(F.sequence(F.lit(1), F.least(F.col("longest"), F.col("n") - F.col("start")))).alias("length"),
-    ).select("phrase", "start", "length", F.substring(F.col("text"), F.col("start") + 1, F.col("length")).alias("piece"))
+        "key", "start", F.substring(F.col("text"), F.col("start") + 1, F.col("longest")).alias("rest"),
+    ).select("key", "start", F.explode(F.sequence(F.lit(1), F.char_length("rest"))).alias("length"), "rest")
+    spans = spans.select("key", "start", "length", F.substring(F.col("rest"), F.lit(1), F.col("length")).alias("piece"))
     found = spans.join(pieces, "piece")
-    edges = found.groupBy("phrase").agg(F.collect_list(F.struct("start", "length", "score", "id")).alias("edges"))
+    edges = found.groupBy("key").agg(F.collect_list(F.struct("start", "length", "score", "id")).alias("edges"))
     none = F.array().cast("array<struct<start:int,length:int,score:double,id:bigint>>")
-    ready = once.join(edges, "phrase", "left").select(
+    ready = once.join(edges, "key", "left").select(
         "phrase",
         F.coalesce(F.col("edges").cast("array<struct<start:int,length:int,score:double,id:bigint>>"), none).alias("edges"),
         "n",
@@ -96,8 +93,8 @@ def tokenise_phrases(phrases: DataFrame, vocab: DataFrame, unknown_id: int, medi
 def embed_phrases(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """(phrase, vector): the direction of the sum of the pieces' vectors.
 
-    A phrase has at most 512 pieces, so its vectors are summed in one place; a
-    phrase without pieces gets the nought vector.
+    A phrase's vectors are summed in one place; a phrase without pieces gets the
+    nought vector.
     """
     rows = vocab.select("id", dequantised("scale", "q").alias("row"))
     dims = vocab.agg(F.max(F.size("q")).alias("d")).scalar()

@@ -60,10 +60,10 @@ def cumulative_rank(results: DataFrame, keys: Sequence[str] = QUERY) -> DataFram
 def seen_key(by: Column | str) -> Column:
     """What repeats are told apart by under a job's filter; null keeps the row."""
     by = F.col(by) if isinstance(by, str) else by
-    site = F.when(F.col("url") != "", F.col("url")).otherwise(F.col("host"))
+    # An address without a host in it leaves the host that was recorded.
     key = (
         F.when(by == "url", F.when(strip("url") != "", canonical_url("url")))
-        .when(by == "host", canonical_host(site))
+        .when(by == "host", F.coalesce(F.nullif(canonical_host("url"), F.lit("")), canonical_host("host")))
         .when(by == "text", strip("title"))
     )
     return F.when(key != "", key)
@@ -76,17 +76,13 @@ def first_seen(results: DataFrame, by: Column | str, seen: DataFrame | None = No
     before the shuffle, so a key of any number of copies is no hot spot.
     """
     keyed = results.withColumn("__key", seen_key(by))
-    # A row without a key is a group of its own.
-    alone = F.when(F.col("__key").isNull(), F.struct("ordinal", "page", "position"))
-    kept = firsts(
-        keyed, ["job_id", F.col("__key").alias("__k"), alone.alias("__alone")], ["ordinal", "page", "position"]
-    )
+    # Rows without a key all stay, so they are neither sorted nor shuffled.
+    alone, known = keyed.where("__key is null"), keyed.where("__key is not null")
+    kept = firsts(known, ["job_id", F.col("__key").alias("__k")], ["ordinal", "page", "position"])
     if seen is not None:
-        # Rows without a key stay out of the join: they would all meet in one task.
-        known = seen.select("job_id", F.col("key").alias("__key"))
-        new = kept.where("__key is not null").join(known, ["job_id", "__key"], "left_anti").select(*kept.columns)
-        kept = new.unionByName(kept.where("__key is null"))
-    return kept.drop("__key")
+        before = seen.select("job_id", F.col("key").alias("__key"))
+        kept = kept.join(before, ["job_id", "__key"], "left_anti").select(*keyed.columns)
+    return kept.unionByName(alone).drop("__key")
 
 
 def seen_keys(results: DataFrame, by: Column | str) -> DataFrame:
@@ -202,16 +198,16 @@ def validate_jobs(forms: DataFrame) -> DataFrame:
     depth = F.when(kind.isin("index", "suggest"), F.lit(1)).otherwise(F.col("pages"))
     empty = F.coalesce(F.size("fields") == 0, F.lit(False))
     faults = {
-        "name.required": F.coalesce(strip("name"), F.lit("")) == "",
-        "kind.unknown": ~kind.isin(*KINDS),
-        "unique.unknown": ~F.coalesce("unique_by", F.lit("")).isin(*FILTERS),
-        "unique.textonly": (by == "text") & (kind != "suggest"),
-        "target.required": (kind == "position") & (F.coalesce(strip("target"), F.lit("")) == ""),
-        "pages.positive": F.coalesce(depth, F.lit(0)) < 1,
-        "suggestlimit.bad": (kind == "suggest") & (F.coalesce("suggest_limit", F.lit(0)) < 0),
-        "keep.none": empty,
-        "keep.needsurl": (by == "url") & ~empty & ~keeps("fields", "url"),
-        "keep.needshost": (by == "host") & ~empty & ~keeps("fields", "host"),
+        "name missing": F.coalesce(strip("name"), F.lit("")) == "",
+        "kind not known": ~kind.isin(*KINDS),
+        "filter not known": ~F.coalesce("unique_by", F.lit("")).isin(*FILTERS),
+        "text filter outside suggestions": (by == "text") & (kind != "suggest"),
+        "target missing": (kind == "position") & (F.coalesce(strip("target"), F.lit("")) == ""),
+        "no page asked for": F.coalesce(depth, F.lit(0)) < 1,
+        "limit below zero": (kind == "suggest") & (F.coalesce("suggest_limit", F.lit(0)) < 0),
+        "no field kept": empty,
+        "filter without its address": (by == "url") & ~empty & ~keeps("fields", "url"),
+        "filter without its host": (by == "host") & ~empty & ~keeps("fields", "host"),
     }
     return forms.withColumns({
         "filter": by,

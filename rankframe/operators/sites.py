@@ -22,9 +22,9 @@ from rankframe.functions.urls import (
     url_host,
 )
 from rankframe.operators.record import POSITIONS_PER_CHUNK, QUERY, ROW
-from rankframe.operators.running import Measure, firsts, running
+from rankframe.operators.running import Measure, firsts, numbered, running
 
-SAMPLE = 3
+SAMPLE = 3  # titles a verdict shows unless asked for more
 RESULTS_PER_PAGE = 10
 
 
@@ -76,18 +76,24 @@ def _offers(results: DataFrame, *kept: str) -> DataFrame:
     return results.select(*kept, F.inline(both))
 
 
-def find_positions(queries: DataFrame, results: DataFrame, sites: DataFrame) -> DataFrame:
+def find_positions(queries: DataFrame, results: DataFrame, sites: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Where each job's sites stand for each of its queries.
 
-    ``results`` carries cumulative ``rank`` over the walk; ``sites`` is
-    (job_id, site). A site not found answers rank 0 and how many rows were read.
+    Rows are counted as they are read, page after page: the count is the rank,
+    and how many were read is ``scanned``. ``pages`` (see ``walk_extent``) leaves
+    only the pages a walk takes; without it every page of ``results`` was read.
+    ``sites`` is (job_id, site). A site not found answers rank 0.
     """
+    if pages is not None:
+        results = results.join(walk_extent(pages).select(*ROW[:-1]), ROW[:-1], "left_semi")
+    lines = results.select(*ROW, "url", "host")
+    counted = numbered(lines, QUERY, [F.floor(F.col("page") / POSITIONS_PER_CHUNK)], ["page", "position"], "rank")
     asked = _asked(sites)
-    matched = _offers(results, *QUERY, "page", "rank").join(asked, ["job_id", "__how", "__wanted"])
+    matched = _offers(counted, *QUERY, "page", "rank").join(asked, ["job_id", "__how", "__wanted"])
     found = matched.groupBy(*QUERY, "site").agg(
         F.min("rank").alias("rank"), F.min_by("page", "rank").alias("page"), F.min_by("__how", "rank").alias("how")
     )
-    read = results.groupBy(*QUERY).agg(F.max("rank").alias("__read"))
+    read = lines.groupBy(*QUERY).agg(F.count(F.lit(1)).alias("__read"))
     rows = queries.select(*QUERY, F.col("text").alias("query")).join(asked.select("job_id", "site"), "job_id")
     hit = F.col("rank").isNotNull()
     return (
@@ -106,35 +112,27 @@ def find_positions(queries: DataFrame, results: DataFrame, sites: DataFrame) ->
     )
 
 
-def index_verdicts(pages: DataFrame, results: DataFrame, targets: DataFrame) -> DataFrame:
+def index_verdicts(pages: DataFrame, results: DataFrame, targets: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Whether each query's target is held, from its first page.
 
     ``targets`` is (job_id, ordinal, site). Only a page that was read answers:
-    a query without page 1 in ``pages`` gives no verdict. The sample is the
-    first three hits, picked before they are gathered.
+    a query without page 1 in ``pages`` gives no verdict. All hits are counted;
+    ``sample`` says how many titles are shown. A first page is a handful of
+    rows, so a question and its page meet by the query alone.
     """
-    asked = _asked(targets)
-    hits = _offers(results.where(F.col("page") == 1), *ROW, "title").join(asked, [*QUERY, "__how", "__wanted"])
-    by = [*QUERY, "site"]
-    # Both are reduced before the shuffle: the count by its partial sums, the
-    # sample by the first three rows each task has of a question.
-    counted = hits.groupBy(*by).agg(F.count(F.lit(1)).alias("hits"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("position"))
-    first = hits.select(*by, "position", "title").withColumn("__at", place).where(F.col("__at") <= SAMPLE)
-    samples = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("position", "title"))).alias("__sample"))
-    told = counted.join(samples, by)
-    read = pages.where(F.col("page") == 1).select(*QUERY)
-    return (
-        asked.select(*QUERY, "site")
-        .join(read, QUERY, "left_semi")
-        .join(told, [*QUERY, "site"], "left")
-        .select(
-            *QUERY,
-            F.col("site").alias("target"),
-            (F.coalesce("hits", F.lit(0)) > 0).alias("indexed"),
-            F.coalesce("hits", F.lit(0)).alias("hits"),
-            F.coalesce(F.transform("__sample", lambda s: s["title"]), F.array().cast("array<string>")).alias("sample"),
-        )
+    asked = _asked(targets).join(pages.where(F.col("page") == 1).select(*QUERY), QUERY, "left_semi")
+    first = results.where(F.col("page") == 1).select(*QUERY, "position", "title", "url", "host")
+    by_url = (F.col("url") != "") & (canonical_url("url") == F.col("__wanted"))
+    hit = F.when(F.col("__how") == "url", by_url).otherwise(host_belongs_to("host", F.col("__wanted")))
+    seen = asked.join(first, QUERY, "left").withColumn("__hit", F.coalesce(hit, F.lit(False)))
+    shown = F.array_sort(F.collect_list(F.when(F.col("__hit"), F.struct("position", "title"))))
+    told = seen.groupBy(*QUERY, "site").agg(F.count_if("__hit").alias("hits"), F.slice(shown, 1, sample).alias("__sample"))
+    return told.select(
+        *QUERY,
+        F.col("site").alias("target"),
+        (F.col("hits") > 0).alias("indexed"),
+        "hits",
+        F.transform("__sample", lambda s: s["title"]).alias("sample"),
     )
 
 
@@ -152,8 +150,8 @@ def list_indexed(results: DataFrame, sites: DataFrame) -> DataFrame:
     want = sites.select(*QUERY, "site", normalise_site(strip("site")).alias("__want"))
     on_site = results.join(want, QUERY).where(host_belongs_to("host", F.col("__want"))).drop("__want")
     key = F.when(F.col("link") != "", F.col("link")).when(F.col("title") != "", F.col("title"))
-    alone = F.when(key.isNull(), F.struct("page", "position"))
-    return firsts(on_site, [*QUERY, "site", key.alias("__k"), alone.alias("__alone")], ["page", "position"])
+    once = firsts(on_site.where(key.isNotNull()), [*QUERY, "site", key.alias("__k")], ["page", "position"])
+    return once.unionByName(on_site.where(key.isNull()))
 
 
 def only_site(rows: DataFrame, site: str, part: str = "results", kind: str = "search") -> DataFrame:

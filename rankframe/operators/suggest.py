@@ -1,7 +1,6 @@
 """Suggestion probes: the questions asked about a key, and their answers."""
 
 import html
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,33 +15,6 @@ _LATIN = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = "0123456789"
 
 
-def _span(first: str, last: str, leave_out: str = "") -> str:
-    return "".join(c for c in map(chr, range(ord(first), ord(last) + 1)) if c not in leave_out)
-
-
-def _plain_kana(first: str, last: str, leave_out: str) -> str:
-    """A syllabary without its small and voiced letters."""
-    whole = _span(first, last, leave_out)
-    return "".join(c for c in whole if len(unicodedata.normalize("NFD", c)) == 1 and "SMALL" not in unicodedata.name(c))
-
-
-# Acute, grave, hook, tilde, dot below.
-_TONES = (0x0301, 0x0300, 0x0309, 0x0303, 0x0323)
-
-
-def _toned(vowel: str) -> str:
-    """A vowel under each of the five Vietnamese tones."""
-    return "".join(unicodedata.normalize("NFC", vowel + chr(tone)) for tone in _TONES)
-
-
-_VIETNAMESE = (
-    "abcdđ" + _span("e", "z")
-    + _toned("a") + "ă" + _toned("ă") + "â" + _toned("â")
-    + _toned("e") + "ê" + _toned("ê") + _toned("i")
-    + _toned("o") + "ô" + _toned("ô") + "ơ" + _toned("ơ")
-    + _toned("u") + "ư" + _toned("ư") + _toned("y") + _DIGITS
-)
-
 # The letters each language's keys are tried with, in order.
 ALPHABETS: dict[str, list[str]] = {
     "ru": list("йцукенгшщзфывапролдячсмитьхъжэюб"),
@@ -71,10 +43,10 @@ ALPHABETS: dict[str, list[str]] = {
     "bg": list("абвгдежзийклмнопрстуфхцчшщъьюя" + _DIGITS),
     "el": list("αβγδεζηθικλμνξοπρσςτυφχψω" + _DIGITS),
     "he": list("אבגדהוזחטיכךלמםנןסעפףצץקרשת" + _DIGITS),
-    "hi": list("अआइईउऊएऐओऔ" + _span("क", "ह", "ऩऱळऴ") + _DIGITS),
-    "th": list(_span("ก", "ฮ", "ฃฅฤฦ") + _DIGITS),
-    "vi": list(_VIETNAMESE),
-    "ja": list(_plain_kana("あ", "ん", "ゐゑ") + _plain_kana("ア", "ン", "ヰヱ") + _LATIN + _DIGITS),
+    "hi": list("अआइईउऊएऐओऔकखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह" + _DIGITS),
+    "th": list("กขคฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮ" + _DIGITS),
+    "vi": list("abcdđefghijklmnopqrstuvwxyzáàảãạăắằẳẵặâấầẩẫậéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵ" + _DIGITS),
+    "ja": list("あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをんアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワヲン" + _LATIN + _DIGITS),
     "ko": list("ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎㅏㅑㅓㅕㅗㅛㅜㅠㅡㅣ" + _LATIN + _DIGITS),
 }
 DEFAULT_ALPHABET = list(_LATIN + _DIGITS)
@@ -185,8 +157,15 @@ def parse_suggest_answers(answers: DataFrame, plain: bool = False) -> tuple[Data
     """
     body = strip(F.regexp_replace("body", r"^\x{FEFF}", ""))
     body = strip(F.when(body.startswith(GUARD), F.substring(body, F.lit(len(GUARD) + 1), F.length(body))).otherwise(body))
-    envelope = F.from_json(body, "array<string>", {"mode": "PERMISSIVE"})
-    read = answers.withColumn("__items", F.from_json(F.get(envelope, F.lit(1 if plain else 0)), "array<string>"))
+    # JSON to its end, and a list of lists; in the plain form a list of texts.
+    # What follows the end goes unseen unless the whole stands in brackets.
+    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    listed = F.try_variant_get(whole, f"$[0][{1 if plain else 0}]", "variant")
+    kind = F.schema_of_variant(listed)
+    good = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") if plain else kind.startswith("ARRAY<")
+    good = good & F.try_variant_get(whole, "$[1]", "variant").isNull()
+    items = F.when(good, F.from_json(F.to_json(listed), "array<string>"))
+    read = answers.withColumn("__items", items)
     status = F.col("status")
     refusal = (
         F.when(status == 429, "wall").when(status == 403, "banned").when(status != 200, "http")

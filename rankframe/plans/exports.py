@@ -83,14 +83,13 @@ def project_layout(t: Tables) -> DataFrame:
 @query(
     "distinct_layout",
     f"""SELECT ordinal, rank, host, title FROM (
-         SELECT *, row_number() OVER (PARTITION BY host, title ORDER BY ordinal, rank) AS copy FROM h_ranked WHERE job_id % 2 = 1)
+         SELECT *, row_number() OVER (PARTITION BY host, title ORDER BY ordinal, rank) AS copy FROM h_ranked)
        WHERE copy = 1""",
     history=True,
 )
 def distinct_layout(t: Tables) -> DataFrame:
-    rows = t.h_ranked.where("job_id % 2 = 1")
     layout = Y.Layout("results", ("title", "host"))
-    return Y.distinct_layout(rows, layout, RESULT_ORDER).select("ordinal", "rank", "host", "title")
+    return Y.distinct_layout(t.h_ranked, layout, RESULT_ORDER).select("ordinal", "rank", "host", "title")
 
 
 @query(

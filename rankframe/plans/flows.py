@@ -76,12 +76,13 @@ def stream_first_seen(t: Tables) -> DataFrame:
          SELECT l_orderkey % 25 AS job_id, l_orderkey AS ordinal, l_suppkey, l_returnflag,
            row_number() OVER (PARTITION BY l_orderkey % 25, l_suppkey ORDER BY l_orderkey) AS copy
          FROM lineitem WHERE l_returnflag <> 'N')
-       SELECT job_id, count(*) FILTER (WHERE copy = 1) AS results FROM arrived GROUP BY job_id""",
+       SELECT job_id, CAST(sum(n) AS BIGINT) AS results FROM (
+         SELECT job_id, count(*) AS n FROM arrived WHERE copy = 1 GROUP BY 1
+         UNION ALL SELECT l_orderkey % 25, count(*) FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) GROUP BY job_id""",
 )
 def stream_record(t: Tables) -> DataFrame:
     """Results recorded batch by batch: ranked, repeats by address dropped."""
-    rows = _stream(t, "lineitem").where("l_returnflag != 'N'")
-    arrived = _arrivals(rows).join(
+    arrived = _arrivals(_stream(t, "lineitem")).join(
         t.h_jobs.select("job_id"), "job_id", "left_semi"
     )
     place = F.xxhash64("url", "ordinal")

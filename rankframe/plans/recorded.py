@@ -216,16 +216,16 @@ def retry_moved(t: Tables) -> DataFrame:
            WHEN kind = 'suggest' AND (unique_by IS NULL OR unique_by IN ('url', 'host')) THEN 'text'
            ELSE coalesce(unique_by, '') END AS filter FROM forms)
        SELECT job_id, filter, concat_ws(',',
-         CASE WHEN trim(name) = '' THEN 'name.required' END,
-         CASE WHEN kind = 'crawl' THEN 'kind.unknown' END,
-         CASE WHEN unique_by = 'sound' THEN 'unique.unknown' END,
-         CASE WHEN filter = 'text' AND kind <> 'suggest' THEN 'unique.textonly' END,
-         CASE WHEN kind = 'position' AND target = '' THEN 'target.required' END,
-         CASE WHEN kind NOT IN ('index', 'suggest') AND pages < 1 THEN 'pages.positive' END,
-         CASE WHEN kind = 'suggest' AND suggest_limit < 0 THEN 'suggestlimit.bad' END,
-         CASE WHEN keep = 'none' THEN 'keep.none' END,
-         CASE WHEN filter = 'url' AND keep = 'title' THEN 'keep.needsurl' END,
-         CASE WHEN filter = 'host' AND keep IN ('title', 'url') THEN 'keep.needshost' END) AS faults
+         CASE WHEN trim(name) = '' THEN 'name missing' END,
+         CASE WHEN kind = 'crawl' THEN 'kind not known' END,
+         CASE WHEN unique_by = 'sound' THEN 'filter not known' END,
+         CASE WHEN filter = 'text' AND kind <> 'suggest' THEN 'text filter outside suggestions' END,
+         CASE WHEN kind = 'position' AND target = '' THEN 'target missing' END,
+         CASE WHEN kind NOT IN ('index', 'suggest') AND pages < 1 THEN 'no page asked for' END,
+         CASE WHEN kind = 'suggest' AND suggest_limit < 0 THEN 'limit below zero' END,
+         CASE WHEN keep = 'none' THEN 'no field kept' END,
+         CASE WHEN filter = 'url' AND keep = 'title' THEN 'filter without its address' END,
+         CASE WHEN filter = 'host' AND keep IN ('title', 'url') THEN 'filter without its host' END) AS faults
        FROM f""",
 )
 def validate_jobs(t: Tables) -> DataFrame:

@@ -49,15 +49,22 @@ def walk_extent(t: Tables) -> DataFrame:
          coalesce(f.rank, read.n, 0) AS scanned
        FROM h_queries q JOIN h_jobs j USING (job_id)
        LEFT JOIN first f ON f.job_id = q.job_id AND f.ordinal = q.ordinal
-       LEFT JOIN (SELECT job_id, ordinal, max(rank) AS n FROM h_ranked GROUP BY 1, 2) read
+       LEFT JOIN (SELECT job_id, ordinal, count(*) AS n FROM counted GROUP BY 1, 2) read
          ON read.job_id = q.job_id AND read.ordinal = q.ordinal""".replace("WITH_MATCH\n", ""),
     history=True,
-    ctes=f"""first AS (
+    ctes=f"""shown AS (SELECT *, ordinal % 3 = 0 AND page >= 2 AS over FROM h_results),
+    counted AS (
+      SELECT *, row_number() OVER (PARTITION BY job_id, ordinal ORDER BY page, position) AS rank FROM shown WHERE NOT over),
+    first AS (
       SELECT r.job_id, r.ordinal, min(rank) AS rank, arg_min(page, rank) AS page
-      FROM h_ranked r JOIN h_jobs j USING (job_id) WHERE {_MATCH} GROUP BY 1, 2)""",
+      FROM counted r JOIN h_jobs j USING (job_id) WHERE {_MATCH} GROUP BY 1, 2)""",
 )
 def find_positions(t: Tables) -> DataFrame:
-    return S.find_positions(t.h_queries, t.h_ranked, t.h_jobs.select("job_id", "site"))
+    """The walk of every third query ends with its first page, by that page's bar."""
+    pages = t.h_results.groupBy(*R.QUERY, "page").agg(F.count(F.lit(1)).alias("n_results")).withColumns(
+        {"has_pagination": F.col("ordinal") % 3 == 0, "max_offset": F.lit(0)}
+    )
+    return S.find_positions(t.h_queries, t.h_results, t.h_jobs.select("job_id", "site"), pages)
 
 
 def _targets(t: Tables) -> DataFrame:

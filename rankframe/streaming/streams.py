@@ -8,6 +8,7 @@ is made for ``foreachBatch``.
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,19 +88,24 @@ def stream_pace(settled: DataFrame, delay: str = "10 minutes", window: str = "5
 
 
 def _rhythm(key: tuple[Any, ...], batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One session's new events counted on from where it stood."""
-    checked, since, answered, met, intervals, carried = state.get if state.exists else (False, 0, 0, 0, 0, 0)
+    """One session's new events added to its totals.
+
+    An event that is marked, or not admitted, begins a stretch. An admitted mark
+    in a stretch that a mark began closes an interval as long as the stretch so far.
+    """
+    begun_by_mark, length, answered, met, intervals, carried = state.get if state.exists else (False, 0, 0, 0, 0, 0)
     events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for admitted, marked in zip(events["admitted"], events["marked"]):
-        answered += 1
-        met += bool(marked)
-        if admitted and marked and checked:
-            intervals, carried = intervals + 1, carried + since
-        if marked or not admitted:
-            checked, since = bool(marked), 0
-        else:
-            since += 1
-    state.update((checked, since, answered, met, intervals, carried))
+    admitted, marked = events["admitted"].to_numpy(bool), events["marked"].to_numpy(bool)
+    begins = marked | ~admitted
+    at = np.arange(len(events))
+    # Where the stretch that each event comes upon began; -1: before this batch.
+    start = np.concatenate([[-1], np.maximum.accumulate(np.where(begins, at, -1))])
+    by_mark = np.where(start >= 0, marked[np.maximum(start, 0)], begun_by_mark)
+    so_far = np.where(start >= 0, np.append(at, len(at)) - start - 1, np.append(at, len(at)) + length)
+    closes = admitted & marked & by_mark[:-1]
+    answered, met = answered + len(at), met + int(marked.sum())
+    intervals, carried = intervals + int(closes.sum()), carried + int(so_far[:-1][closes].sum())
+    state.update((bool(by_mark[-1]), int(so_far[-1]), answered, met, intervals, carried))
     yield pd.DataFrame({
         "session": [key[0]], "answered": [answered], "met": [met], "intervals": [intervals], "carried": [carried],
     })

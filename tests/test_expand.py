@@ -27,7 +27,7 @@ def test_expand(spark, formats, queries, want):
 
 @pytest.mark.parametrize("text", [
     "no place", "{query} {num:5:1}", "{query} {num:a:2}", "{query} {ABC:a:z:0}", "{query} {ABC:ab:z:1}", "{query} {ABC:z:a:1}",
-    "{query} {ABC:a:z:5}", "{query} {num:1:2000000}", "{query} {num:1:2000} {num:1:2000}", "{query} {ABC:a:z:x}",
+    "{query} {ABC:a:z:14}", "{query}" + " {num:1:2000000}" * 4, "{query} {ABC:a:z:x}",
 ])
 def test_refused(text):
     with pytest.raises(FormatError):
@@ -43,3 +43,9 @@ def test_a_large_expansion_is_whole_and_in_order(spark):
     assert picked == {
         0: "k a", 25: "k z", 26: "k aa", 701: "k zz", 702: "k aaa", size - 1: "k zzz", size: "k 1", size + 49999: "k 50000",
     }
+
+
+def test_more_than_a_million_of_each_query(spark):
+    rows = spark.createDataFrame([(0, "k")], "ordinal long, text string")
+    got = expand_queries(rows, ["{query} {num:1:1200000}"])
+    assert got.count() == 1_200_000 and got.where("ordinal = 1199999").first().query == "k 1200000"

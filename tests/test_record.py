@@ -75,6 +75,18 @@ def test_first_seen_and_dropped(spark):
         assert {r.job_id: r.dropped for r in R.dropped_counts(frame, F.lit(by)).collect()} == dropped
 
 
+def test_rows_without_a_key_all_stay(spark):
+    rows = [(1, 0, 1, 1, "a", "", ""), (1, 0, 1, 1, "b", "", ""), (1, 0, 1, 2, "c", "https://x.com/", "x.com"), (1, 1, 1, 1, "d", "https://x.com", "x.com")]
+    frame = spark.createDataFrame(rows, RESULTS)
+    assert sorted(r.title for r in R.first_seen(frame, F.lit("url")).collect()) == ["a", "b", "c"]
+    # An address without a host in it leaves the recorded host to tell by.
+    odd = spark.createDataFrame([(1, 0, 1, 1, "a", "https:///x", "y.com"), (1, 0, 1, 2, "b", "", "y.com"), (1, 0, 1, 3, "c", "https:///x", "")], RESULTS)
+    assert sorted(r.title for r in R.first_seen(odd, F.lit("host")).collect()) == ["a", "c"]
+    bare = spark.createDataFrame([(1, 0, 1, 1, "", "", "x.com"), (1, 0, 1, 1, "", "", "x.com")], RESULTS).withColumn("link", F.lit(""))
+    sites = spark.createDataFrame([(1, 0, "x.com")], "job_id long, ordinal long, site string")
+    assert S.list_indexed(bare, sites).count() == 2
+
+
 def test_first_seen_after_an_earlier_run(spark):
     rows = random_results(4)
     frame = spark.createDataFrame(rows, RESULTS)
@@ -168,6 +180,17 @@ def test_positions(spark):
     }
 
 
+def test_positions_count_rows_and_follow_the_walk(spark):
+    queries = spark.createDataFrame([(1, 0, "q")], "job_id long, ordinal long, text string")
+    # Places jump (2, 9), and the bar of the second page ends the walk.
+    rows = [(1, 0, 1, 2, "", "", "a.com"), (1, 0, 1, 9, "", "", "b.com"), (1, 0, 2, 4, "", "", "c.com"), (1, 0, 3, 1, "", "", "d.com")]
+    pages = [(1, 0, 1, 2, 20, True), (1, 0, 2, 1, 10, True), (1, 0, 3, 1, 30, True)]
+    pages = spark.createDataFrame(pages, "job_id long, ordinal long, page int, n_results int, max_offset int, has_pagination boolean")
+    sites = spark.createDataFrame([(1, s) for s in ("b.com", "c.com", "d.com")], "job_id long, site string")
+    found = S.find_positions(queries, spark.createDataFrame(rows, RESULTS), sites, pages).collect()
+    assert {r.site: (r["rank"], r.page, r.scanned) for r in found} == {"b.com": (2, 1, 2), "c.com": (3, 2, 3), "d.com": (0, 0, 3)}
+
+
 def test_index_verdicts(spark):
     rows = [(1, 0, 1, p, f"t{p}", "", "a.example.com") for p in range(1, 6)] + [(1, 1, 1, 1, "t", "", "x.com"), (1, 2, 2, 1, "t", "", "example.com")]
     results = spark.createDataFrame(rows, RESULTS)
@@ -176,6 +199,15 @@ def test_index_verdicts(spark):
     got = {r.ordinal: (r.indexed, r.hits, r.sample) for r in S.index_verdicts(pages, results, targets).collect()}
     # Queries 2 and 3 have no first page that was read, so they have no verdict.
     assert got == {0: (True, 5, ["t1", "t2", "t3"]), 1: (False, 0, [])}
+    all_hits = S.index_verdicts(pages, results, targets, sample=9).where("ordinal = 0").first()
+    assert all_hits.sample == [f"t{p}" for p in range(1, 6)]
+
+
+def test_all_jobs_are_summed_up(spark):
+    jobs = spark.range(120).selectExpr("id AS job_id", "concat('j', id) AS name", "timestamp_seconds(id) AS created_at", "'search' AS kind")
+    queries = spark.range(120).selectExpr("id AS job_id", "0L AS ordinal", "'done' AS state")
+    assert H.job_summaries(jobs, queries).count() == 120
+    assert [r.job_id for r in H.job_summaries(jobs, queries, 2).collect()] == [119, 118]
 
 
 def test_only_site(spark):
