@@ -39,4 +39,4 @@ def stamp(c: Column | str) -> Column:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from rankframe.plans import addresses, exports, flows, logs, pages, recorded, sites, suggestions  # noqa: F401
+    from rankframe.plans import addresses, exports, files, flows, logs, pages, recorded, sites, suggestions  # noqa: F401

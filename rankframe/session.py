@@ -1,9 +1,10 @@
-"""Session settings the operators rely on, and the shared folder for lineage cuts."""
+"""Session settings the operators rely on, the shared folder, and how the package gets to executors."""
 
+import pathlib
 import tempfile
-import uuid
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime settings only: they hold for a session somebody else started.
 SETTINGS = {
@@ -41,21 +42,25 @@ def local_session(cores: int | str = "*", app: str = "rankframe") -> SparkSessio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder. On one machine that names none, a temporary
-    one; a cluster has to name its own, since a local folder is lost with its node."""
+    """The folder named by ``spark.checkpoint.dir``. Only a session on one machine
+    that names none gets a temporary one; a cluster has to name its own, since a
+    local folder is lost with its node."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
         folder = tempfile.mkdtemp(prefix="rankframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """The frame written to the shared folder and read back: a cut in lineage
-    that every executor can read, whichever one wrote it."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/rankframe-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a session that was started without
+    it (no ``--py-files``, not installed there)."""
+    here = pathlib.Path(__file__).resolve().parent
+    # The driver serves the file for as long as the session lasts.
+    path = pathlib.Path(tempfile.mkdtemp(prefix="rankframe-")) / "rankframe.zip"
+    with zipfile.ZipFile(path, "w") as held:
+        for file in sorted(here.rglob("*.py")):
+            held.write(file, file.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(path))
