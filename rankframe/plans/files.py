@@ -76,13 +76,13 @@ def stored_answers(t: Tables) -> DataFrame:
 
 @query(
     "loaded_plan",
-    """SELECT (p_partkey - 1) * 2 + k - 1 AS ordinal, p_name || ' ' || p_partkey || ' ' || k AS text, 'pending' AS state, true AS plan_ready
+    """SELECT p_partkey * 2 + k - 1 AS ordinal, p_name || ' ' || p_partkey || ' ' || k AS text, 'pending' AS state, true AS plan_ready
        FROM part, (SELECT unnest([1, 2]) AS k)""",
 )
 def loaded_plan(t: Tables) -> DataFrame:
     """A list loaded as a job's plan, then read from the history."""
     folder = _folder(t)
-    listed = t.part.select((F.col("p_partkey") - 1).alias("ordinal"), F.concat_ws(" ", "p_name", "p_partkey").alias("text"))
+    listed = t.part.select(F.col("p_partkey").alias("ordinal"), F.concat_ws(" ", "p_name", "p_partkey").alias("text"))
     told = {"job_id": F.lit(7), "name": F.lit("plan"), "plan_ready": F.lit(False)}
     job = t.spark.range(1).select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in JOBS.fields])
     writers.load_plan(listed, ["{query} {num:1:2}"], job, 7, folder)
