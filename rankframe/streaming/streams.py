@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankframe.functions.vectors import closeness
+from rankframe.operators import pages as P
 from rankframe.operators.judge import mark_related
 from rankframe.operators.layouts import Layout, record_line
-from rankframe.operators.record import cumulative_rank, first_seen, keep_fields, seen_key, seen_keys
+from rankframe.operators.record import QUERY, cumulative_rank, first_seen, keep_aside, keep_fields, seen_key, seen_keys
 from rankframe.schemas import SEEN
 
 RHYTHM_OUT = "session bigint, answered bigint, met bigint, intervals bigint, carried bigint"
@@ -69,6 +70,46 @@ def record_batch(root: str, jobs: DataFrame) -> Callable[[DataFrame, int], None]
     return record
 
 
+def record_captures(root: str, jobs: DataFrame) -> Callable[[DataFrame, int], None]:
+    """What ``foreachBatch`` does with captured pages (``read_captures`` columns):
+    every part of a query's record. Results go through ``record_batch``; ads and
+    related searches where the job keeps them, pages that were read, what each
+    job's filter dropped, and each query's outcome are written beside them, all
+    under the batch's own number. A query's pages must come in one batch.
+    """
+    root = root.rstrip("/")
+    results_of = record_batch(root, jobs)
+    rules = jobs.select("job_id", "unique_by", "fields")
+
+    def record(batch: DataFrame, number: int) -> None:
+        spark: SparkSession = batch.sparkSession
+
+        def write(rows: DataFrame, name: str) -> DataFrame:
+            path = f"{root}/{name}/epoch={number}"
+            rows.write.mode("overwrite").parquet(path)
+            return spark.read.schema(rows.schema).parquet(path)
+
+        # Read once; everything else is made from what was read.
+        read = write(P.extract_serps(batch), "serps")
+        found = P.organic_results(read, [*QUERY, "page"]).withColumns(
+            {"offtopic": F.lit(False), "similarity": F.lit(None).cast("double")}
+        )
+        results_of(found, number)
+        kept = spark.read.parquet(f"{root}/results/epoch={number}").groupBy("job_id").agg(F.count(F.lit(1)).alias("kept"))
+        counted = found.groupBy("job_id").agg(F.count(F.lit(1)).alias("found")).join(kept, "job_id", "left")
+        write(counted.select("job_id", (F.col("found") - F.coalesce("kept", F.lit(0))).alias("dropped")), "dropped")
+        for name, rows in (("ads", P.ads(read, [*QUERY, "page"])), ("related", P.related_searches(read, [*QUERY, "page"]))):
+            write(keep_aside(rows.join(rules, "job_id"), "fields", name).select(*rows.columns), name)
+        write(P.usable(read).select(*QUERY, "page", "origin"), "pages")
+        # A query fails with what its first unusable page was.
+        broken = F.min(F.when(~F.col("class").isin("serp", "empty"), F.struct("page", "class")))["class"]
+        state = read.groupBy(*QUERY).agg(broken.alias("__class"))
+        err = F.when(F.col("__class").isNull(), "").otherwise(F.concat(F.lit("page refused (class "), "__class", F.lit(")")))
+        write(state.select(*QUERY, err.alias("err"), F.current_timestamp().alias("settled_at")), "outcomes")
+
+    return record
+
+
 def stream_pace(settled: DataFrame, delay: str = "10 minutes", window: str = "5 minutes", every: str = "1 minute") -> DataFrame:
     """Queries and pages settled per job in a window that moves on every minute.
 

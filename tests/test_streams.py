@@ -92,3 +92,34 @@ def test_score_and_export(spark, tmp_path):
     lines = W.stream_export(scored.withColumnRenamed("key", "query").withColumnRenamed("text", "title"), Y.Layout("completions", ("key", "similarity"), format=Y.JSONL))
     run(lines.writeStream.format("memory").queryName("lines").option("checkpointLocation", f"{tmp_path}/l"))
     assert '{"key":"coffee","similarity":null}' in {r.value for r in spark.table("lines").collect()}
+
+
+def test_captures_are_recorded_with_all_their_parts(spark, tmp_path):
+    from rankframe.sources.readers import CAPTURES
+    from tests.test_pages import result
+
+    unit = '<div id="tads"><div data-text-ad="1"><a data-pcu="https://s.com/p" href="/aclk"><h3>Ad</h3></a></div></div>'
+    more = '<div id="botstuff"><a href="/search?q=more">x</a></div>'
+    page = lambda *links: "".join(result(i, link) for i, link in enumerate(links))
+    rows = [
+        (1, 0, "q", 1, 200, "", "https://o", page("https://a.com/", "https://b.com/") + unit + more), (1, 0, "q", 2, 200, "", "https://o", page("https://a.com")),
+        (1, 1, "r", 1, 200, "", "https://o", page("https://b.com/", "https://c.com/")), (2, 0, "s", 1, 403, "", "https://o", ""),
+        (2, 1, "t", 1, 200, "", "https://o", page("https://a.com/") + unit + more),
+    ]
+    jobs = spark.createDataFrame([(1, "url", None), (2, "", ["title"])], "job_id long, unique_by string, fields array<string>")
+    frame = spark.createDataFrame(rows, CAPTURES)
+    record = W.record_captures(str(tmp_path), jobs)
+    record(frame.where("job_id = 1 and ordinal = 0"), 0)
+    for _ in range(2):  # a batch done again replaces what it wrote
+        record(frame.where("not (job_id = 1 and ordinal = 0)"), 1)
+    held = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    assert sorted((r.job_id, r.ordinal, r["rank"], r.url) for r in held("results").collect()) == [
+        (1, 0, 1, "https://a.com/"), (1, 0, 2, "https://b.com/"), (1, 1, 2, "https://c.com/"), (2, 1, 1, ""),
+    ]
+    assert [(r.job_id, r.placement, r.title) for r in held("ads").collect()] == [(1, "top", "Ad")]
+    assert [(r.job_id, r.query) for r in held("related").collect()] == [(1, "more")]
+    assert sorted((r.job_id, r.ordinal, r.page) for r in held("pages").collect()) == [(1, 0, 1), (1, 0, 2), (1, 1, 1), (2, 1, 1)]
+    assert {r.job_id: r.n for r in held("dropped").groupBy("job_id").agg(F.sum("dropped").alias("n")).collect()} == {1: 2, 2: 0}
+    assert {(r.job_id, r.ordinal): r.err for r in held("outcomes").collect()} == {
+        (1, 0): "", (1, 1): "", (2, 0): "page refused (class banned)", (2, 1): "",
+    }
