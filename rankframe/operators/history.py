@@ -4,6 +4,8 @@ Ordered answers end in ``orderBy``: a range sort across the cluster, or a
 bounded top-k where there is a limit. Only done queries answer a check.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,14 +136,21 @@ def latest_rows(queries: DataFrame, results: DataFrame, job: int, limit: int) ->
     return _of(results, job).join(when, QUERY).orderBy(*newest).limit(limit)
 
 
-def latest_verdicts(queries: DataFrame, results: DataFrame, job: int, limit: int) -> DataFrame:
+def _latest(answer: Callable[..., DataFrame], queries: DataFrame, results: DataFrame, job: int, limit: int) -> DataFrame:
+    """The answers for a job's last settled queries, which are picked before
+    anything is counted."""
     newest = [F.col("settled_at").desc_nulls_last(), F.col("ordinal").desc()]
-    return verdicts(queries, results, job).orderBy(*newest).limit(limit)
+    shown = _of(queries, job).where(F.col("state") == "done").orderBy(*newest).limit(limit)
+    theirs = _of(results, job).join(shown.select(*QUERY), QUERY, "left_semi")
+    return answer(shown, theirs, job).orderBy(*newest)
+
+
+def latest_verdicts(queries: DataFrame, results: DataFrame, job: int, limit: int) -> DataFrame:
+    return _latest(verdicts, queries, results, job, limit)
 
 
 def latest_standings(queries: DataFrame, results: DataFrame, job: int, limit: int) -> DataFrame:
-    newest = [F.col("settled_at").desc_nulls_last(), F.col("ordinal").desc()]
-    return standings(queries, results, job).orderBy(*newest).limit(limit)
+    return _latest(standings, queries, results, job, limit)
 
 
 def _speed(moments: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Figures over event logs: rhythm of marks, census of states, tallies."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankframe.operators.running import Measure, running
@@ -86,7 +86,8 @@ def state_census(changes: DataFrame, as_of: Column) -> DataFrame:
         F.sum(spent).alias("__spent"),
         F.coalesce(F.max(F.when(standing, spent)), F.lit(0)).alias("__longest"),
     )
-    whole = per_state.agg(F.sum("__spent")).scalar()
+    # One row per state here.
+    whole = F.sum("__spent").over(Window.partitionBy())
     return per_state.select(
         "state",
         "entities",
