@@ -446,3 +446,46 @@ def embed_phrases(t: Tables) -> DataFrame:
     phrases = t.benchmark.select(F.col("text").alias("phrase"))
     vectors = P.embed_phrases(P.tokenise_phrases(phrases, vocab, unknown_id=0), vocab)
     return vectors.select("phrase", F.array_join(F.transform("vector", lambda x: F.round(x, 6).cast("string")), ",").alias("vector"))
+
+
+# A vocabulary of the phrases' words alone leaves one cut, which SQL can make too.
+_FORCED = r"""
+phrases AS (SELECT DISTINCT text AS phrase FROM benchmark),
+cut AS (
+  SELECT phrase, list_filter(string_split(trim(regexp_replace(regexp_replace(phrase, '([!-/:-@\[-`{-~])', ' \1 ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS words
+  FROM phrases),
+ids AS (SELECT phrase, list_transform(words, lambda w: CAST('0x' || substr(md5('▁' || w), 1, 15) AS BIGINT)) AS ids FROM cut),
+sums AS (
+  SELECT phrase, ids, list_sum(list_transform(ids, lambda i: i % 7 - 3)) * 0.01 AS a, list_sum(list_transform(ids, lambda i: i % 8 - 3)) * 0.01 AS b,
+    list_sum(list_transform(ids, lambda i: i % 9 - 3)) * 0.01 AS c FROM ids)
+"""
+
+
+def _words_alone(t: Tables) -> DataFrame:
+    marked = P.normalise_phrase("text")
+    words = t.benchmark.select(F.explode(F.split(F.substring(marked, F.lit(2), F.length(marked)), "▁")).alias("w"))
+    pieces = words.where("w != ''").select(F.concat(F.lit("▁"), "w").alias("piece")).distinct()
+    id_ = F.conv(F.substring(F.md5("piece"), 1, 15), 16, 10).cast("long")
+    return pieces.withColumn("id", id_).select(
+        "piece", "id", F.lit(-1.0).alias("score"), F.lit(0.01).alias("scale"),
+        F.array(*[(F.col("id") % n - 3).cast("tinyint") for n in (7, 8, 9)]).alias("q"),
+    )
+
+
+@query("tokenise_words", "SELECT phrase, len(ids) AS pieces, array_to_string(ids, ',') AS tokens FROM ids", ctes=_FORCED)
+def tokenise_words(t: Tables) -> DataFrame:
+    cut = P.tokenise_phrases(t.benchmark.select(F.col("text").alias("phrase")), _words_alone(t), unknown_id=0)
+    return cut.select("phrase", F.size("tokens").cast("long").alias("pieces"), F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+
+
+@query(
+    "embed_words",
+    """SELECT phrase, round(a / sqrt(a * a + b * b + c * c), 6) + 0.0 AS a, round(b / sqrt(a * a + b * b + c * c), 6) + 0.0 AS b,
+         round(c / sqrt(a * a + b * b + c * c), 6) + 0.0 AS c FROM sums""",
+    ctes=_FORCED,
+)
+def embed_words(t: Tables) -> DataFrame:
+    vocab = _words_alone(t)
+    tokens = P.tokenise_phrases(t.benchmark.select(F.col("text").alias("phrase")), vocab, unknown_id=0)
+    vector = P.embed_phrases(tokens, vocab)
+    return vector.select("phrase", *[(F.round(F.col("vector")[i], 6) + F.lit(0.0)).alias(n) for i, n in enumerate("abc")])
