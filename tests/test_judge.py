@@ -95,6 +95,13 @@ def test_tokens_against_every_cut(spark):
         assert at == len(text) and math.isclose(score, every_cut(text))
 
 
+def test_a_long_phrase_is_cut_whole(spark):
+    vocab = spark.createDataFrame([(p, i + 1, s) for i, (p, s) in enumerate(PIECES.items())], "piece string, id long, score double")
+    frame = spark.createDataFrame([("ab " * 33_334,)], "phrase string")
+    tokens = P.tokenise_phrases(frame, vocab, unknown_id=0).first().tokens
+    assert tokens == [list(PIECES).index("▁ab") + 1] * 33_334
+
+
 def test_normalised_phrases(spark):
     rows = spark.createDataFrame([("Coffee,  maker/x ",), ("  ",), ("a\t\nb",)], "c string")
     got = [r.x for r in rows.select(P.normalise_phrase("c").alias("x")).collect()]
