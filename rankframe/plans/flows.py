@@ -9,7 +9,7 @@ from rankframe.operators import history as H
 from rankframe.operators import layouts as Y
 from rankframe.plans.logs import RHYTHM_SQL, session_events
 from rankframe.plans.registry import query, stamp
-from rankframe.plans.suggestions import _PAIRS, _pairs
+from rankframe.plans.suggestions import _JUDGED, _pairs
 from rankframe.plans.views import DRIVER_TABLES, Tables
 from rankframe.session import shared_folder
 from rankframe.streaming import streams as W
@@ -133,8 +133,9 @@ def stream_score(t: Tables) -> DataFrame:
 
 @query(
     "stream_judged_words",
-    f"""SELECT l_linenumber % 6 AS kind, count(*) AS suggestions FROM pairs GROUP BY 1""",
-    ctes=_PAIRS,
+    """SELECT key, text, n AS suggestions, NOT (coalesce(x.related, false) OR coalesce(y.related, false)) AS offtopic
+       FROM once LEFT JOIN by_word x USING (id) LEFT JOIN by_run y USING (id)""",
+    ctes=_JUDGED,
 )
 def stream_judged_words(t: Tables) -> DataFrame:
     """Suggestions of a stream joined to their static keys and judged by words."""
@@ -142,7 +143,7 @@ def stream_judged_words(t: Tables) -> DataFrame:
     live.__dict__["lineitem"] = _stream(t, "lineitem")
     none = t.embeddings.where("false").select(F.lit("").alias("phrase"), F.col("embedding").alias("vector"))
     rows = _appended(t, W.stream_score(_pairs(live), none))
-    return rows.groupBy((F.col("l_linenumber") % 6).alias("kind")).agg(F.count(F.lit(1)).alias("suggestions"))
+    return rows.groupBy("key", "text", "offtopic").agg(F.count(F.lit(1)).alias("suggestions"))
 
 
 @query(

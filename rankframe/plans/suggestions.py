@@ -275,11 +275,7 @@ def _pairs(t: Tables) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", name.alias("key"), text.alias("text"))
 
 
-@query(
-    "related_to_key",
-    f"""SELECT key, text, n AS pairs, coalesce(x.related, false) OR coalesce(y.related, false) AS related
-        FROM once LEFT JOIN by_word x USING (id) LEFT JOIN by_run y USING (id)""",
-    ctes=_PAIRS + f""",
+_JUDGED = _PAIRS + f""",
     once AS (SELECT key, text, count(*) AS n, row_number() OVER (ORDER BY key, text) AS id FROM pairs GROUP BY key, text),
     cut AS (SELECT id, string_split(key, ' ') AS k, string_split_regex(text, '[^a-z0-9]+') AS w FROM once),
     ab AS (SELECT id, a, unnest(w) AS b FROM (SELECT id, unnest(k) AS a, w FROM cut)),
@@ -292,7 +288,14 @@ def _pairs(t: Tables) -> DataFrame:
       SELECT id, k, i, unnest(range(1, least(4, len(k) - i + 1) + 1)) AS n FROM (SELECT id, k, unnest(range(1, len(k) + 1)) AS i FROM cut))),
     wr AS (SELECT id, n, array_to_string(w[i:i + n - 1], '') AS run FROM (
       SELECT id, w, i, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS n FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM cut))),
-    by_run AS (SELECT id, bool_or(kr.n > 1 OR wr.n > 1) AS related FROM kr JOIN wr USING (id, run) GROUP BY id)""",
+    by_run AS (SELECT id, bool_or(kr.n > 1 OR wr.n > 1) AS related FROM kr JOIN wr USING (id, run) GROUP BY id)"""
+
+
+@query(
+    "related_to_key",
+    """SELECT key, text, n AS pairs, coalesce(x.related, false) OR coalesce(y.related, false) AS related
+        FROM once LEFT JOIN by_word x USING (id) LEFT JOIN by_run y USING (id)""",
+    ctes=_JUDGED,
 )
 def related_to_key(t: Tables) -> DataFrame:
     """Each distinct suggestion judged once, with how many rows it stands for."""
