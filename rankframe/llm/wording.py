@@ -8,7 +8,7 @@ import xxhash
 # Python also splits at these; a word is a run of anything but ASCII white space.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = re.compile("[\x20\x09-\x0d]+")
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 
 
 class _Hashes(dict):
