@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 from rankframe.llm.page_labels import training_set
 from rankframe.llm.page_model import SIZE, Model, fitted
 
-SAMPLE, SAMPLE_CHARS, LAYOUTS, SEED = 200, 50_000, 4, 7
+SAMPLE, SAMPLE_CHARS, LAYOUTS, SEED, SPARE = 200, 50_000, 4, 7, 5
 
 
 def trained(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, layouts: int = LAYOUTS, seed: int = SEED) -> Model:
-    html = F.col(html_col)
-    bounded = pages.where(F.char_length(html) <= SAMPLE_CHARS).select(html.alias("html"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
-    rows = bounded.orderBy("h", "html").limit(sample).collect()
+    html, whole = F.col(html_col), 1 << 40
+    hashed = pages.select(html.alias("html"), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(whole)).alias("h"))
+    # Only a few times the sample is left to order, however many tasks read the pages.
+    low = whole * min(1.0, SPARE * sample / max(1, pages.count()))
+    near = hashed.where((F.col("h") < int(low)) & (F.char_length("html") <= SAMPLE_CHARS))
+    rows = near.orderBy("h", "html").limit(sample).collect()
     trees, labels = training_set([r["html"] for r in rows], layouts, seed)
     if not trees:
         all_text = np.zeros(SIZE)
