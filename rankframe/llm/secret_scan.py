@@ -1,11 +1,12 @@
 """Secret scan by corpus-wide ownership: what looks like a credential is hashed,
 and its hash counted by distinct repositories and owners. A value that several
-owners hold is a copied example; one that a single owner holds, and that looks
+owners hold, or that is spread over many repositories of one, is a copied
+example; one that a single owner holds in few repositories, and that looks
 random, looks live.
 
 Base spans come from fixed patterns and always stay. Besides them, random-looking
-tokens are candidates; those held by one owner only are added as spans of the
-kind ``key``.
+tokens are candidates; those held by one owner only, in few repositories, are
+added as spans of the kind ``key``.
 
 Defined results: a null or empty text has no candidates; a null repository or
 owner is one like any other; rows that repeat are judged alike and each has its
@@ -38,6 +39,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # Candidates of the method: long tokens of letters and digits.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 LEAST_VALUE, LEAST_BITS, EXAMPLE_OWNERS = 6, 2.5, 3
+# A single owner's value is live in so many repositories at most, and an example from so many on.
+LIVE_REPOSITORIES, EXAMPLE_REPOSITORIES = 3, 10
 
 
 def bits(value: str) -> float:
@@ -92,21 +95,29 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _live(mark: dict | None) -> bool:
+    return mark is not None and mark["owners"] == 1 and mark["repositories"] <= LIVE_REPOSITORIES
+
+
+def _example(mark: dict | None) -> bool:
+    return mark is not None and (mark["owners"] >= EXAMPLE_OWNERS or mark["repositories"] >= EXAMPLE_REPOSITORIES)
+
+
 def _verdict(found: pd.Series, live: pd.Series) -> pd.DataFrame:
     out = []
     for spans, marks in zip(found, live):
         marks = {} if marks is None else {bytes(m["hash"]): m for m in marks}
         spans = [(s["kind"], s["start"], s["end"], marks.get(bytes(s["hash"])), s["random"]) for s in (spans if spans is not None else [])]
         base = [s for s in spans if s[0] in KINDS]
-        added = [s for s in spans if s[0] == "key" and s[3] and s[3]["owners"] == 1]
+        added = [s for s in spans if s[0] == "key" and _live(s[3])]
         every = sorted(base + added, key=lambda s: (s[1], (*KINDS, "key").index(s[0])))
-        owners = [(s[3] or {}).get("owners", 0) for s in every]
         count = Counter(s[0] for s in base)
         out.append((
             *[count[k] for k in KINDS], sha256(joined(base).encode()).hexdigest(), joined(every),
-            sum(n == 1 and s[4] for n, s in zip(owners, every)), sum(n >= EXAMPLE_OWNERS for n in owners),
+            sum(_live(s[3]) and s[4] for s in every), sum(_example(s[3]) for s in every),
+            *[[(s[3] or {}).get(c, 0) for s in every] for c in ("repositories", "owners")],
         ))
-    return pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example"])
+    return pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "repositories", "owners"])
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -119,8 +130,10 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """One row per document: its spans, and how many of them look live (one
-    owner) or copied (``EXAMPLE_OWNERS`` owners or more)."""
+    """One row per document: its spans, how many of them look live (one owner,
+    ``LIVE_REPOSITORIES`` at most) or copied (``EXAMPLE_OWNERS`` owners or
+    ``EXAMPLE_REPOSITORIES`` repositories or more), and the distinct repositories
+    and owners of each span's value, in the order of ``spans``."""
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(repository_col).alias("repository"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text")
     )
@@ -130,9 +143,10 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     each = found.where(F.size("found") > 0).select("id", "repository", "owner", F.explode("found").alias("c"))
     counts = settled(ownership(each.select("repository", "owner", F.col("c.hash").alias("hash"))), "owners")
     marks = each.select("id", F.col("c.hash").alias("hash")).distinct().join(counts, "hash")
-    marks = marks.groupBy(F.col("id").alias("held_by")).agg(F.collect_list(F.struct("hash", "owners")).alias("marks"))
+    marks = marks.groupBy(F.col("id").alias("held_by")).agg(F.collect_list(F.struct("hash", "repositories", "owners")).alias("marks"))
     verdict = F.pandas_udf(
-        _verdict, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_example long"
+        _verdict,
+        "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_example long, repositories array<long>, owners array<long>",
     )
     whole = found.join(marks, F.col("id").eqNullSafe(F.col("held_by")), "left").select("id", verdict("found", "marks").alias("v"))
     return whole.select(F.col("id").alias(id_col), "v.*")

@@ -43,6 +43,17 @@ def test_owners_tell_copied_from_live(spark):
     assert rows[102].spans == ""  # two owners: neither an example nor added
 
 
+def test_copies_within_one_owner_are_examples(spark):
+    key, pair, some = "Zk3vQ9xT7mB2nL5pR8sW1yC4", "Hq8wE2rT6yU1iO5pA9sD3fG7", "Jx4cV8bN2mQ6wE1rT5yU9iO3"
+    records = [(i, f"copied {key} end", "hot") for i in range(1000)] + [(2000 + i, f"mine {pair} end", "hot") for i in range(2)] + [(3000 + i, f"token={some}", "hot") for i in range(5)]
+    rows = {r.doc_id: r for r in S.scanned(spark.createDataFrame(records, "doc_id long, text string, source string")).collect()}
+    assert all((rows[i].spans, rows[i].n_live) == ("", 0) for i in range(1000))
+    assert (rows[2000].n_live, rows[2000].n_example, rows[2000].repositories, rows[2000].owners) == (1, 0, [2], [1])
+    assert (rows[3000].n_live, rows[3000].n_example, rows[3000].repositories, rows[3000].owners) == (0, 0, [5], [1])
+    told = S.scanned(spark.createDataFrame([(i, f"secret={key}", "hot") for i in range(1000)], "doc_id long, text string, source string")).collect()
+    assert all((r.n_live, r.n_example, r.repositories, r.owners) == (0, 1, [1000], [1]) for r in told)
+
+
 def test_ownership(spark):
     found = [("r1", "o1", b"h"), ("r1", "o1", b"h"), ("r2", "o1", b"h"), ("r3", "o2", b"h"), (None, None, b"i"), (None, None, b"i")]
     got = {bytes(r.hash): (r.repositories, r.owners) for r in S.ownership(spark.createDataFrame(found, "repository string, owner string, hash binary")).collect()}
