@@ -4,11 +4,14 @@ grouped over all documents, the earliest ranked occurrence stays, the others go.
 A unit is a line, or a sentence of a line of several; a sentence of more than
 ``LONG`` words is cut at its commas, colons and semicolons, so that a passage put
 in the middle of a sentence still has units of its own. Words count in lower
-case, in compatibility form and without punctuation around them. Units of fewer
-than ``LEAST_UNIT`` words are not looked up; between two repeated units they go
-with them. Neighbouring repeated units make a run, and a run is removed where it
-has ``least_words`` words, or consists of whole lines of ``least_line`` words.
-What was removed, and what stays, is given in the original's code points.
+case, in compatibility form and without punctuation around them. Every line of
+``SHORT_LINE`` words or more is also a unit as a whole, beside its sentences,
+and a line that was there before is removed whatever its length. Within a line,
+sentences of fewer than ``LEAST_UNIT`` words are not looked up; between two
+repeated units they go with them. Neighbouring repeated units make a run, and a
+run is removed where it has ``least_words`` words, or consists of whole lines of
+``least_line`` words. What was removed, and what stays, is given in the
+original's code points.
 
 Defined results: occurrences rank by id, then by their place; a null id ranks
 first and loses nothing; rows that repeat an id lose what any of them loses at
@@ -20,6 +23,7 @@ no rows; further columns are left alone.
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,10 @@ from rankframe.llm.common import settled
 from rankframe.llm.wording import ODD_SPACE, mixed_bits
 
 KNOWN_WORDS = 300_000
-LONG, LEAST_UNIT, LEAST_WORDS, LEAST_LINE = 16, 4, 10, 5
+LONG, LEAST_UNIT, LEAST_WORDS, LEAST_LINE, SHORT_LINE = 16, 4, 10, 5, 2
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_NOBODY = object()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # What a word ends: nothing, a clause or a sentence.
 _ENDS = {",": 1, ";": 1, ":": 1, ".": 2, "!": 2, "?": 2, "…": 2}
@@ -67,38 +72,64 @@ def _worded(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words)), counts
 
 
-def units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end (in words) of each unit, and its two 64-bit digests."""
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _nowhere() -> Spans:
+    return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+
+
+def _digested(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Spans:
+    """Start and end (in words) of spans that cover all words, and two 64-bit digests of each."""
+    inside = np.arange(len(marks), dtype=np.uint64) - np.repeat(starts, ends - starts).astype(np.uint64)
+    plain = mixed_bits((marks >> np.uint64(2)) + inside * _STEP)
+    first = mixed_bits(np.add.reduceat(plain, starts))
+    second = mixed_bits(np.add.reduceat(mixed_bits(plain ^ _STEP), starts))
+    return starts, ends, first, second
+
+
+def _cut_up(text: str | None) -> tuple[Spans, Spans]:
+    """The units of a text, and its lines."""
     if not text:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+        return _nowhere(), _nowhere()
     marks, line_ends = _worded(text)
-    n = len(marks)
-    if not n:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+    if not len(marks):
+        return _nowhere(), _nowhere()
+    line_ends = np.unique(line_ends[line_ends > 0])
     kind = (marks & np.uint64(3)).astype(np.int8)
-    kind[line_ends[line_ends > 0] - 1] = 2
+    kind[line_ends - 1] = 2
     ends = np.flatnonzero(kind == 2) + 1
     starts = np.concatenate([[0], ends[:-1]])
     # Cut the long sentences at the clauses inside them.
     long = np.repeat(ends - starts > LONG, ends - starts)
     cut = (kind == 2) | ((kind == 1) & long)
     ends = np.flatnonzero(cut) + 1
-    starts = np.concatenate([[0], ends[:-1]])
-    inside = np.arange(n, dtype=np.uint64) - np.repeat(starts, ends - starts).astype(np.uint64)
-    plain = mixed_bits((marks >> np.uint64(2)) + inside * _STEP)
-    first = mixed_bits(np.add.reduceat(plain, starts))
-    second = mixed_bits(np.add.reduceat(mixed_bits(plain ^ _STEP), starts))
-    return starts, ends, first, second
+    found = _digested(marks, np.concatenate([[0], ends[:-1]]), ends)
+    return found, _digested(marks, np.concatenate([[0], line_ends[:-1]]), line_ends)
+
+
+def units(text: str | None) -> Spans:
+    """Start and end (in words) of each unit, and its two 64-bit digests."""
+    return _cut_up(text)[0]
+
+
+def _looked_up(text: str | None) -> list[np.ndarray]:
+    """Units and whole lines whose digests are compared, each span once."""
+    found, lines = _cut_up(text)
+    keep = found[1] - found[0] >= LEAST_UNIT
+    # A line of one unit is that unit.
+    at = np.searchsorted(found[0], lines[0])
+    known = (found[1][at] == lines[1]) & keep[at] if len(at) else np.empty(0, bool)
+    more = (lines[1] - lines[0] >= SHORT_LINE) & ~known
+    return [np.concatenate([x[keep], y[more]]) for x, y in zip(found, lines)]
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         which, parts, held = [], [], 0
         for i, text in enumerate(batch.column(1)):
-            starts, ends, first, second = units(text.as_py())
-            keep = ends - starts >= LEAST_UNIT
-            which.append(np.full(int(keep.sum()), i))
-            parts.append((starts[keep], ends[keep], first[keep], second[keep]))
+            parts.append(_looked_up(text.as_py()))
+            which.append(np.full(len(parts[-1][0]), i))
             held += len(which[-1])
             if held > 50_000 or i == len(batch) - 1:
                 at, to, one, two = (np.concatenate(x) for x in zip(*parts))
@@ -116,25 +147,43 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(text: str, repeated: dict[tuple[int, int], object], least_words: int, least_line: int) -> list[tuple]:
-    """Removed spans of a text; ``repeated`` has its repeated units, and who keeps each."""
-    starts, ends, _, _ = units(text)
+    """Removed spans of a text; ``repeated`` has its repeated units and lines, and who keeps each."""
+    found, lines = _cut_up(text)
     spans = [m.span() for m in _WORD.finditer(text)]
     out, run = [], []
+    line_end = dict(zip(lines[0].tolist(), lines[1].tolist()))
+
+    def removed(part: list[tuple]) -> tuple:
+        a, b = part[0][0], part[-1][1]
+        return spans[a][0], spans[b - 1][1], part[0][2], b - a
 
     def close() -> None:
-        while run and run[-1] not in repeated:
+        while run and run[-1][2] is _NOBODY:
             run.pop()  # a short unit goes only between repeated ones
         if not run:
             return
-        a, b = run[0][0], run[-1][1]
-        start, end = spans[a][0], spans[b - 1][1]
+        start, end, _, n = whole = removed(run)
         line = not text[text.rfind("\n", 0, start) + 1 : start].strip() and not text[end:].split("\n", 1)[0].strip()
-        if b - a >= least_words or (line and b - a >= least_line):
-            out.append((start, end, repeated[run[0]], b - a))
-
-    for unit in zip(starts.tolist(), ends.tolist()):
-        if unit in repeated or (run and unit[1] - unit[0] < LEAST_UNIT):
-            run.append(unit)
+        if n >= least_words or (line and n >= least_line):
+            out.append(whole)
+            return
+        # Whole lines go without what is beside them.
+        for is_line, part in groupby(run, key=lambda x: x[3]):
+            if is_line:
+                out.append(removed(list(part)))
+
+    upto = 0
+    for a, b in zip(found[0].tolist(), found[1].tolist()):
+        if a < upto:
+            continue  # within a repeated line
+        end = line_end.get(a, a)
+        if end - a >= SHORT_LINE and (a, end) in repeated:
+            run.append((a, end, repeated[a, end], True))
+            upto = end
+        elif (a, b) in repeated:
+            run.append((a, b, repeated[a, b], False))
+        elif run and b - a < LEAST_UNIT:
+            run.append((a, b, _NOBODY, False))
         else:
             close()
             run = []

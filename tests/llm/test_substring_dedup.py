@@ -64,6 +64,21 @@ def test_form_does_not_matter_and_short_things_stay(spark):
     assert rows[1].text == "x\n\ny" and rows[3].n_removed == 0 and rows[4].n_removed == 0 and rows[5].text == "q\n"
 
 
+def test_repeated_lines_of_any_length_go(spark):
+    two, three = "The and attion to thanedble the, anea. Eriner thanea.", "All rights reserved."
+    first, second = "Enmentai. Of, edti oner.", "Yes. No. Well."
+    records = [(i, "\n".join([cases.prose(12, 900 + i), two, cases.prose(12, 700 + i), three, first, cases.prose(9, 300 + i), second])) for i in range(4)]
+    rows = run(spark, records)
+    assert rows[0].text == records[0][1]
+    for i in range(1, 4):
+        parts = records[i][1].split("\n")
+        assert [x for x in rows[i].text.split("\n") if x.strip()] == [parts[0], parts[2], parts[5]]
+        assert {x.first_id for x in rows[i].removed} == {0} and rows[i].n_removed == 9 + 3 + 4 + 3
+    # Within a line short sentences stay, beside a line that goes or not.
+    rows = run(spark, [(0, "a b c d e f. All rights reserved.\nUnder the terms.\nx y z"), (1, "g h i j k l. All rights reserved.\nUnder the terms.\nm n o")])
+    assert rows[1].text == "g h i j k l. All rights reserved.\n\nm n o"
+
+
 def test_a_hot_line(spark):
     line = cases.prose(15, 3)
     rows = run(spark, [(i, f"{cases.prose(8, 100 + i)}\n{line}") for i in range(400)])
