@@ -3,8 +3,10 @@ grouped over all documents, the earliest ranked occurrence stays, the others go.
 
 A unit is a line, or a sentence of a line of several; a sentence of more than
 ``LONG`` words is cut at its commas, colons and semicolons, so that a passage put
-in the middle of a sentence still has units of its own. Words count in lower
-case, in compatibility form and without punctuation around them. Every line of
+in the middle of a sentence still has units of its own; what is longer still is
+cut after words chosen by their own and their neighbours' hashes, at least
+``LEAST_UNIT`` words from either end. In scripts without spaces each character
+is a word of half the size. Words count in lower case, in compatibility form and without punctuation around them. Every line of
 ``SHORT_LINE`` words or more is also a unit as a whole, beside its sentences,
 and a line that was there before is removed whatever its length. Within a line,
 sentences of fewer than ``LEAST_UNIT`` words are not looked up; between two
@@ -34,25 +36,47 @@ from rankframe.llm.common import settled
 from rankframe.llm.wording import ODD_SPACE, mixed_bits
 
 KNOWN_WORDS = 300_000
+# Sizes are in words; a word has ``HALVES``, a character of a script without spaces one.
+HALVES = 2
 LONG, LEAST_UNIT, LEAST_WORDS, LEAST_LINE, SHORT_LINE = 16, 4, 10, 5, 2
 _WORD = re.compile("[^\x20\x09-\x0d]+")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+# Scripts without spaces: South-East Asian, Tibetan, Chinese and Japanese.
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
+_DENSE_WORD = re.compile(rf"[{_DENSE}][^\w{_DENSE}\x20\x09-\x0d\u3000]*|[^{_DENSE}\x20\x09-\x0d\u3000]+")
+_LIGHT = re.compile(f"[{_DENSE}\u3000-\u303f]")
 _NOBODY = object()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # What a word ends: nothing, a clause or a sentence.
-_ENDS = {",": 1, ";": 1, ":": 1, ".": 2, "!": 2, "?": 2, "…": 2}
+_ENDS = dict.fromkeys(",;:،؛、，；：､፣፤፥၊᠂", 1) | dict.fromkeys(".!?…。．！？｡؟۔।॥።፧։׃။។៕།༎᠃", 2)
 REMOVED = "array<struct<start:int,end:int,first_id:{},n_words:int>>"
 
 
+def _inner(c: str) -> bool:
+    """Letters, digits, and the marks that many scripts write vowels with."""
+    return c.isalnum() or (unicodedata.category(c)[0] == "M" and not "\ufe00" <= c <= "\ufe0f")
+
+
+def _plain(word: str) -> str:
+    word = unicodedata.normalize("NFKC", word).lower()
+    a, b = 0, len(word)
+    while a < b and not _inner(word[a]):
+        a += 1
+    while a < b and not _inner(word[b - 1]):
+        b -= 1
+    return word[a:b]
+
+
 class _Known(dict):
-    """A word's hash in normal form, with what it ends in the two lowest bits."""
+    """A word's hash in normal form, with what it ends in the two lowest bits and its size in the next two."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        plain = _EDGE.sub("", unicodedata.normalize("NFKC", word).lower())
-        value = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) & ~3
-        value |= _ENDS.get(word.rstrip("\"'»”’)]")[-1:], 0)
+        plain = _plain(word)
+        value = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) & ~15
+        value |= _ENDS.get(word.rstrip("\"'»”’)]」』）】》〉］")[-1:], 0)
+        value |= (1 if _LIGHT.match(word) else HALVES) << 2
         if len(self) >= KNOWN_WORDS:
             self.clear()
         if len(word) <= 64:
@@ -63,9 +87,13 @@ class _Known(dict):
 _KNOWN = _Known()
 
 
+def _words_by(text: str) -> re.Pattern:
+    return _DENSE_WORD if not text.isascii() and _HAS_DENSE.search(text) else _WORD
+
+
 def _worded(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The marks of all words, and the words before the end of each line."""
-    cut = str.split if not ODD_SPACE.search(text) else _WORD.findall
+    cut = str.split if (pattern := _words_by(text)) is _WORD and not ODD_SPACE.search(text) else pattern.findall
     lines = [cut(x) for x in text.split("\n")]
     counts = np.cumsum([len(x) for x in lines])
     words = [w for x in lines for w in x]
@@ -82,30 +110,62 @@ def _nowhere() -> Spans:
 def _digested(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Spans:
     """Start and end (in words) of spans that cover all words, and two 64-bit digests of each."""
     inside = np.arange(len(marks), dtype=np.uint64) - np.repeat(starts, ends - starts).astype(np.uint64)
-    plain = mixed_bits((marks >> np.uint64(2)) + inside * _STEP)
+    plain = mixed_bits((marks >> np.uint64(4)) + inside * _STEP)
     first = mixed_bits(np.add.reduceat(plain, starts))
     second = mixed_bits(np.add.reduceat(mixed_bits(plain ^ _STEP), starts))
     return starts, ends, first, second
 
 
-def _cut_up(text: str | None) -> tuple[Spans, Spans]:
-    """The units of a text, and its lines."""
+def _chosen(marks: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Whether a word's hash, taken with the two words before it, is the least within
+    ``LEAST_UNIT`` words around. The cuts depend on these words alone, lie at least so
+    far apart, and so far (sizes ``before`` and ``after``) from the ends of their stretch."""
+    words = marks >> np.uint64(4)
+    sizes = (marks >> np.uint64(2)) & np.uint64(3)
+    value = words.copy()
+    for d, step in ((1, _STEP), (2, _STEP * np.uint64(3))):
+        value[d:] += mixed_bits(words[:-d] + step)
+    value = mixed_bits(value)
+    ok = (before >= LEAST_UNIT * HALVES) & (after >= LEAST_UNIT * HALVES)
+    light = sizes < HALVES
+    for d in range(1, LEAST_UNIT * HALVES + 1 if light.any() else LEAST_UNIT + 1):
+        # Beyond ``LEAST_UNIT`` places only characters are compared.
+        held = np.ones(len(marks), bool) if d <= LEAST_UNIT else light
+        ok[:-d] &= ~held[:-d] | (value[:-d] < value[d:])
+        ok[d:] &= ~held[d:] | (value[d:] <= value[:-d])
+    return ok
+
+
+def _cut_up(text: str | None) -> tuple[Spans, Spans, np.ndarray]:
+    """The units of a text, its lines, and the size of all words before each word, in halves."""
+    nothing = _nowhere(), _nowhere(), np.zeros(1, np.int64)
     if not text:
-        return _nowhere(), _nowhere()
+        return nothing
     marks, line_ends = _worded(text)
     if not len(marks):
-        return _nowhere(), _nowhere()
+        return nothing
+    size = np.concatenate([[0], np.cumsum(((marks >> np.uint64(2)) & np.uint64(3)).astype(np.int64))])
     line_ends = np.unique(line_ends[line_ends > 0])
     kind = (marks & np.uint64(3)).astype(np.int8)
     kind[line_ends - 1] = 2
     ends = np.flatnonzero(kind == 2) + 1
     starts = np.concatenate([[0], ends[:-1]])
     # Cut the long sentences at the clauses inside them.
-    long = np.repeat(ends - starts > LONG, ends - starts)
+    long = np.repeat(size[ends] - size[starts] > LONG * HALVES, ends - starts)
     cut = (kind == 2) | ((kind == 1) & long)
     ends = np.flatnonzero(cut) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    # What is still long is cut by its content.
+    still = size[ends] - size[starts] > LONG * HALVES
+    if still.any():
+        at = np.flatnonzero(np.repeat(still, ends - starts))
+        lengths = (ends - starts)[still]
+        before = size[at + 1] - np.repeat(size[starts[still]], lengths)
+        after = np.repeat(size[ends[still]], lengths) - size[at + 1]
+        cut[at[_chosen(marks[at], before, after)]] = True
+        ends = np.flatnonzero(cut) + 1
     found = _digested(marks, np.concatenate([[0], ends[:-1]]), ends)
-    return found, _digested(marks, np.concatenate([[0], line_ends[:-1]]), line_ends)
+    return found, _digested(marks, np.concatenate([[0], line_ends[:-1]]), line_ends), size
 
 
 def units(text: str | None) -> Spans:
@@ -115,12 +175,12 @@ def units(text: str | None) -> Spans:
 
 def _looked_up(text: str | None) -> list[np.ndarray]:
     """Units and whole lines whose digests are compared, each span once."""
-    found, lines = _cut_up(text)
-    keep = found[1] - found[0] >= LEAST_UNIT
+    found, lines, size = _cut_up(text)
+    keep = size[found[1]] - size[found[0]] >= LEAST_UNIT * HALVES
     # A line of one unit is that unit.
     at = np.searchsorted(found[0], lines[0])
     known = (found[1][at] == lines[1]) & keep[at] if len(at) else np.empty(0, bool)
-    more = (lines[1] - lines[0] >= SHORT_LINE) & ~known
+    more = (size[lines[1]] - size[lines[0]] >= SHORT_LINE * HALVES) & ~known
     return [np.concatenate([x[keep], y[more]]) for x, y in zip(found, lines)]
 
 
@@ -148,14 +208,15 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(text: str, repeated: dict[tuple[int, int], object], least_words: int, least_line: int) -> list[tuple]:
     """Removed spans of a text; ``repeated`` has its repeated units and lines, and who keeps each."""
-    found, lines = _cut_up(text)
-    spans = [m.span() for m in _WORD.finditer(text)]
+    found, lines, size = _cut_up(text)
+    size = size.tolist()
+    spans = [m.span() for m in _words_by(text).finditer(text)]
     out, run = [], []
     line_end = dict(zip(lines[0].tolist(), lines[1].tolist()))
 
     def removed(part: list[tuple]) -> tuple:
         a, b = part[0][0], part[-1][1]
-        return spans[a][0], spans[b - 1][1], part[0][2], b - a
+        return spans[a][0], spans[b - 1][1], part[0][2], -((size[a] - size[b]) // HALVES)
 
     def close() -> None:
         while run and run[-1][2] is _NOBODY:
@@ -177,12 +238,12 @@ def _runs(text: str, repeated: dict[tuple[int, int], object], least_words: int,
         if a < upto:
             continue  # within a repeated line
         end = line_end.get(a, a)
-        if end - a >= SHORT_LINE and (a, end) in repeated:
+        if size[end] - size[a] >= SHORT_LINE * HALVES and (a, end) in repeated:
             run.append((a, end, repeated[a, end], True))
             upto = end
         elif (a, b) in repeated:
             run.append((a, b, repeated[a, b], False))
-        elif run and b - a < LEAST_UNIT:
+        elif run and size[b] - size[a] < LEAST_UNIT * HALVES:
             run.append((a, b, _NOBODY, False))
         else:
             close()

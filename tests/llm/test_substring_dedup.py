@@ -79,6 +79,45 @@ def test_repeated_lines_of_any_length_go(spark):
     assert rows[1].text == "g h i j k l. All rights reserved.\n\nm n o"
 
 
+@pytest.mark.parametrize("mark", ["", ","])
+def test_a_passage_without_marks(spark, mark):
+    words = cases.prose(60, 5).split()
+    passage = " ".join(words[:30]) + mark + " " + " ".join(words[30:])
+    records = [(i, f"{cases.prose(25 + i, 10 + i)} {passage} {cases.prose(31 - i, 50 + i)}") for i in range(20)]
+    rows = run(spark, records)
+    assert rows[0].n_removed == 0
+    for i in range(1, 20):
+        assert rows[i].n_removed >= 30 and all(x.first_id < i for x in rows[i].removed)
+        assert all(records[i][1][x.start : x.end] in passage for x in rows[i].removed)
+
+
+def test_other_scripts(spark):
+    import random
+
+    def letters(n, seed, first, last):
+        r = random.Random(seed)
+        return "".join(chr(r.randrange(first, last)) for _ in range(n))
+
+    chinese = [letters(14, i, 0x4E00, 0x9FA0) + "。" for i in range(5)]
+    thai = letters(120, 9, 0xE01, 0xE2F)
+    hindi = " ".join(letters(4, i, 0x905, 0x930) for i in range(12)) + "।"
+    arabic = " ".join(letters(4, i, 0x620, 0x63B) for i in range(12)) + "؟"
+    han = lambda i: letters(20, 100 + i, 0x4E00, 0x9FA0)
+    for passage, least in (("".join(chinese), 60), (thai, 80), (hindi, len(hindi)), (arabic, len(arabic))):
+        space = " " if " " in passage else ""
+        side = han if passage is not thai else lambda i: letters(20, 100 + i, 0xE01, 0xE2F)
+        if space:
+            side = lambda i: cases.prose(6, 100 + i) + "."
+        rows = run(spark, [(i, side(i) + space + passage + space + side(50 + i)) for i in range(3)])
+        assert rows[0].n_removed == 0
+        for i in (1, 2):
+            assert sum(x.end - x.start for x in rows[i].removed) >= least - 8 * (space == ""), passage
+    rows = run(spark, [(0, han(1) + "\n" + chinese[0]), (1, chinese[0] + "\n" + han(2))])
+    assert rows[1].text == "\n" + han(2) and rows[1].n_removed == 7
+    # Vowel signs tell words apart.
+    assert S.units("कक की का कि कू")[2][0] != S.units("कक का की कू कि")[2][0]
+
+
 def test_a_hot_line(spark):
     line = cases.prose(15, 3)
     rows = run(spark, [(i, f"{cases.prose(8, 100 + i)}\n{line}") for i in range(400)])
