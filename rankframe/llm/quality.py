@@ -11,9 +11,11 @@ of each statistic: what hardly varies in a group must not make trifles outliers.
 
 Defined results: a null or empty text has no words and fails the base rule; null
 languages and sources are groups like any other; groups of fewer than
-``least_rows`` documents that pass the base rule are not judged, and what passes
-the base rule stays; rows that repeat are judged alike; an empty table gives no
-rows; further columns are left alone.
+``least_rows`` documents that pass the base rule are judged by the estimate of
+their language over all sources, and languages of fewer by that of the whole
+corpus, however small, so that every document that passes the base rule has a
+distance; rows that repeat are judged alike; an empty table gives no rows;
+further columns are left alone.
 """
 
 import math
@@ -196,9 +198,26 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, least_r
     return current
 
 
+def pooled(rows: DataFrame, levels: int, least_rows: int = LEAST_ROWS, **how) -> DataFrame:
+    """``rows`` (group, up1, …, x0, x1, …) to one row per group: group, centre, inverse.
+    ``up1`` and so on name what a group too small for an estimate is pooled in, one
+    after the other; the last is taken whatever its size. Only what has such groups is pooled."""
+    fitted = estimates(rows, least_rows=least_rows, **how)
+    ups = [f"up{n}" for n in range(1, levels)]
+    left = settled(rows.select("group", *ups).distinct().join(fitted, "group", "left_anti"), "small")
+    for n, up in enumerate(ups, 1):
+        wider = rows.join(left.select(up).distinct(), up, "left_semi").drop("group").withColumnRenamed(up, "group")
+        wide = estimates(wider, least_rows=least_rows if n < levels - 1 else 1, **how).withColumnRenamed("group", up)
+        fitted = fitted.unionByName(left.join(wide, up).select("group", "centre", "inverse"))
+        left = left.join(wide, up, "left_anti")
+    return settled(fitted, "fitted")
+
+
 def _grouped(group_cols: tuple[str, ...], stats: Column) -> list[Column]:
+    """The group, what it is pooled in (one column less each time), and the vector."""
     names = [F.col(f"`{c}`").cast("string").alias(f"g{i}") for i, c in enumerate(group_cols)]
-    return [F.to_json(F.struct(*names)).alias("group"), *[v.alias(f"x{i}") for i, v in enumerate(_vector(stats))]]
+    keys = [F.to_json(F.struct(*names[:n])) if n else F.lit("{}") for n in range(len(names), -1, -1)]
+    return [*[k.alias(f"up{n}" if n else "group") for n, k in enumerate(keys)], *[v.alias(f"x{i}") for i, v in enumerate(_vector(stats))]]
 
 
 def _judged(rows: DataFrame, fitted: DataFrame, tail: float) -> tuple[DataFrame, Column]:
@@ -218,7 +237,7 @@ def judged(
         F.col(id_col).alias("id"), *[F.col(f"`{c}`").alias(g) for c, g in zip(group_cols, inner)], statistics(text_col).alias("stats")
     )
     rows = settled(stats.select("id", "stats", *_grouped(inner, F.col("stats"))), "statistics")
-    fitted = estimates(rows.where(~base_failed(F.col("stats"))), **how)
+    fitted = pooled(rows.where(~base_failed(F.col("stats"))), len(group_cols) + 1, **how)
     joined, kept = _judged(rows, fitted, tail)
     far = _distance([F.col(f"x{i}") for i in range(P)], F.col("centre"), F.col("inverse"))
     return joined.select(
@@ -238,6 +257,6 @@ def without_outliers(
         "row", *[F.col(f"row.`{c}`").alias(g) for c, g in zip(group_cols, inner)], statistics(F.col(f"row.`{text_col}`")).alias("stats")
     )
     rows = settled(with_stats.select("stats", *_grouped(inner, F.col("stats"))), "statistics")
-    fitted = estimates(rows.where(~base_failed(F.col("stats"))), **how)
+    fitted = pooled(rows.where(~base_failed(F.col("stats"))), len(group_cols) + 1, **how)
     joined, kept = _judged(with_stats.select("row", "stats", *_grouped(inner, F.col("stats"))), fitted, tail)
     return joined.where(kept).select("row.*")

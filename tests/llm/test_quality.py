@@ -77,6 +77,17 @@ def test_junk_goes_and_clean_stays(spark):
     assert {r.doc_id for r in Q.without_outliers(docs).collect()} == {i for i, r in rows.items() if r.kept}
 
 
+def test_small_groups_are_judged_by_wider_ones(spark):
+    clean = [(cases.prose(60 + 5 * (i % 40), i, 9000), "en", f"s{i // 4}") for i in range(120)]
+    clean += [(cases.prose(90, 700 + i, 9000), "de", "own") for i in range(3)]
+    junk = [("".join(f"w{i}{n}### " for n in range(100)), lang, source) for i, (lang, source) in enumerate([("en", "s3"), ("en", "tiny"), ("fr", "t"), (None, None)])]
+    records = [r for i, (t, lang, source) in enumerate(clean + junk) for r in cases.rows([t], lang, source, i)]
+    docs = cases.table(spark, records)
+    rows = Q.judged(docs).collect()
+    assert all(r.distance is not None for r in rows) and {r.doc_id for r in rows if not r.kept} == {123, 124, 125, 126}
+    assert Q.without_outliers(docs).count() == 123
+
+
 def test_odd_rows(spark):
     docs = cases.odd(spark)
     rows = Q.judged(docs).collect()
