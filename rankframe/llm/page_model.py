@@ -122,7 +122,7 @@ class Tree:
             if raw and "=" in raw:
                 found = attributes(raw)
                 for name in ("class", "id", "role"):
-                    for word in _SPLIT.split(found.get(name, "")[:1000].lower()):
+                    for word in _SPLIT.split(found.get(name, "").lower()):
                         at = _WORD.get(word)
                         if at is not None:
                             out[v, at] = 1

@@ -47,6 +47,13 @@ def test_blocks():
     assert [b[1] for b in tree.blocks] == ["a bc d e", "f & g", "h", "i <", "j"]
 
 
+def test_long_attributes_are_read_whole():
+    short = Tree('<div class="comment" id="sidebar"><p>a b c</p></div>').features()
+    for n in (10, 1000, 100_000):
+        long = Tree(f'<div class="{"x9 " * n}comment" id="{"x9-" * n}sidebar"><p>a b c</p></div>').features()
+        assert (long == short).all()
+
+
 def test_messages_are_exact():
     """Marginals of a small tree against the sum over all its states."""
     import itertools
