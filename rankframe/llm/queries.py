@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankframe.llm import (
+    clustering,
     exact_dedup,
     html_text,
     mixing,
@@ -134,6 +135,44 @@ def exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def _clustering_sql() -> str:
+    """Rounds are written out, one after the other: nearest centroid, then exact means."""
+    near = "arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d"
+    gap = "list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+kept AS MATERIALIZED (SELECT *, row_number() OVER () AS n FROM whole),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS cluster, v AS w FROM kept WHERE vec_id IS NOT NULL
+  ORDER BY sha256('2:' || vec_id), v LIMIT 40)"""
+    ]
+    for n in range(6):
+        parts.append(f"d{n} AS (SELECT n, {near} FROM (SELECT n, cluster, CAST({gap} AS BIGINT) AS d FROM kept, c{n}) GROUP BY n)")
+        if n < 5:
+            parts.append(
+                f"""m{n} AS (SELECT cluster, list(m ORDER BY i) AS w FROM (
+  SELECT cluster, i, CAST(floor_div AS BIGINT) AS m FROM (
+    SELECT cluster, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div
+    FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept JOIN d{n} USING (n)) GROUP BY cluster, i)) GROUP BY cluster),
+c{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{n}.w, c{n}.w) AS w FROM c{n} LEFT JOIN m{n} USING (cluster))"""
+            )
+    return (
+        ",\n".join(parts)
+        + """
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM kept JOIN d5 USING (n) JOIN c5 USING (cluster)"""
+    )
+
+
+@query("op11_clustering", _clustering_sql())
+def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.clustered(spark.read.parquet(f"{folder.rstrip('/')}/embeddings.parquet"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
