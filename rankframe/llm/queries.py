@@ -9,6 +9,7 @@ from rankframe.llm import (
     clustering,
     exact_dedup,
     html_text,
+    merkle,
     mixing,
     near_dedup,
     packing,
@@ -173,6 +174,64 @@ def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.clustered(spark.read.parquet(f"{folder.rstrip('/')}/embeddings.parquet"))
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[])), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS UBIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 14, upper: int = 9) -> str:
+    """Levels are written out; a tree that has come to one node passes it on."""
+    field = "coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-')"
+    others = " || ".join(field.format(x) for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"))
+    crc = _crc32_sql("CAST(doc_id AS VARCHAR)")
+    bent = f"CASE WHEN {crc} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+    parts = [
+        f"""
+WITH leaves AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, source, sha256({others} || {field.format("text")}) AS leaf,
+    sha256({others} || {field.format(f"({bent})")}) AS bent FROM documents),
+l0 AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+n0 AS (SELECT tree, place, leaf AS h, n FROM l0)""",
+        "f0 AS (SELECT k, tree, place, n, bent AS acc, '' AS proof FROM l0)",
+    ]
+    for i in range(levels + upper):
+        if i == levels:
+            parts.append(f"s{i} AS MATERIALIZED (SELECT tree, h AS subroot FROM n{i})")
+            parts.append(f"n{i}_ AS MATERIALIZED (SELECT 0 AS tree, tree AS place, h, count(*) OVER () AS n FROM n{i})")
+            parts.append(f"f{i}_ AS MATERIALIZED (SELECT k, 0 AS tree, tree AS place, (SELECT count(*) FROM n{i}) AS n, acc, proof FROM f{i})")
+        own = "_" if i == levels else ""
+        parts.append(
+            f"""n{i + 1} AS MATERIALIZED (
+  SELECT tree, place // 3 AS place, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY place)) ELSE min(h) END AS h,
+    CAST((n + 2) // 3 AS BIGINT) AS n FROM n{i}{own} GROUP BY tree, place // 3, n),
+r{i} AS MATERIALIZED (
+  SELECT f.*, CASE f.place % 3 WHEN 0 THEN '' WHEN 1 THEN a.h ELSE a.h || b.h END AS l,
+    CASE f.place % 3 WHEN 0 THEN coalesce(b.h, '') || coalesce(c.h, '') WHEN 1 THEN coalesce(c.h, '') ELSE '' END AS r
+  FROM f{i}{own} f LEFT JOIN n{i}{own} a ON a.tree = f.tree AND a.place = f.place - f.place % 3
+  LEFT JOIN n{i}{own} b ON b.tree = f.tree AND b.place = f.place - f.place % 3 + 1
+  LEFT JOIN n{i}{own} c ON c.tree = f.tree AND c.place = f.place - f.place % 3 + 2),
+f{i + 1} AS MATERIALIZED (
+  SELECT k, tree, place // 3 AS place, CAST((n + 2) // 3 AS BIGINT) AS n, CASE WHEN n > 1 THEN sha256(l || acc || r) ELSE acc END AS acc, proof || l || r AS proof FROM r{i})"""
+        )
+    return (
+        ",\n".join(parts)
+        + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = h AS verified
+FROM l0 JOIN s{levels} USING (tree) JOIN (SELECT k, acc, proof FROM f{levels + upper}) USING (k), (SELECT h FROM n{levels + upper})"""
+    )
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    bent = F.when(tampers, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.audited(documents(spark, folder), lambda: {"text": bent})
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
