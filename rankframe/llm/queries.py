@@ -9,6 +9,7 @@ from rankframe.llm import (
     clustering,
     exact_dedup,
     html_text,
+    language_model,
     merkle,
     mixing,
     near_dedup,
@@ -232,6 +233,12 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.audited(documents(spark, folder), lambda: {"text": bent})
 
 
+@query("op13_lm_scoring")
+def language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return language_model.scores(documents(spark, folder), held_out)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
