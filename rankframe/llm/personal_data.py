@@ -3,10 +3,16 @@
 Base spans (email, ip, card, phone) come from fixed patterns and always stay.
 They seed a graph of lexical patterns (the words around a mention) and instances
 (what is mentioned): a pattern's confidence is the score of its instances, an
-unknown instance's score what its patterns make likely, in turns. Tokens that
+unknown instance's score what its patterns make likely, in turns. Candidates that
 look like identifiers and stand in a pattern of high confidence are added as
 spans of the kind ``context``.
 
+A candidate is a word with a digit or an at sign, or up to six neighbouring groups
+of digits and capitals together (`020 7946 0958`, `(555) 123-4567`); a group of over
+nine characters stands alone. The words around come from the text itself, ``AROUND``
+characters and three matches to either side; words with a digit or an at sign are
+passed over there, so that identifiers side by side have the same words around.
+
 A match of a fixed pattern never starts inside a run that an earlier start has
 taken up, which the look-behinds and possessive quantifiers say, so texts are
 read in time proportional to their length. Places are counted from the pieces
@@ -32,10 +38,16 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){12,18}+(?![0-9]|[\x20-][0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-# A token with a digit or an at sign, and how the core of one is cut out.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-LEAD, TRAIL = r"^[^A-Za-z0-9@+]*+", r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++$"
-AROUND, CHUNK = 64, 512
+# Candidates: groups of digits and capitals, or one word with a digit or an at sign;
+# and how the core of one is cut out, with a bracket where it holds the first digits.
+_GROUP = r"[0-9][0-9A-Z()./-]{0,8}+(?![0-9A-Z()./-])"
+TOKEN = (
+    r"(?<![^\x20\x09-\x0D])(?:"
+    rf"[(+A-Z]{{0,4}}+{_GROUP}(?:\x20(?:[A-Z]{{4}}\x20)?[(A-Z]{{0,4}}+{_GROUP}){{1,5}}+[^\x20\x09-\x0D]*+"
+    r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+)
+LEAD, TRAIL = r"^(?:(?!\([0-9]++\))[^A-Za-z0-9@+])*+", r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++$"
+AROUND, NEIGHBOURS, CHUNK = 64, 3, 512
 ROUNDS, CONFIDENCE, LEAST_SEEDS, IDENTIFIER = 3, 0.8, 3, (6, 64)
 SPAN = "struct<start:bigint,end:bigint,value:string,before:string,after:string>"
 
@@ -43,14 +55,34 @@ SPAN = "struct<start:bigint,end:bigint,value:string,before:string,after:string>"
 def _pieces(found: str, gaps: str) -> Column:
     """Matches with what lies around each: gap and match lengths, value, before, after."""
     n = F.size(found)
-    around = F.zip_with(
-        F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n),
-        lambda b, a: F.struct(F.char_length(b).alias("gap"), F.right(b, F.lit(AROUND)).alias("before"), F.left(a, F.lit(AROUND)).alias("after")),
-    )
-    return F.zip_with(
-        around, found,
-        lambda x, m: F.struct(x["gap"].alias("gap"), F.char_length(m).alias("len"), m.alias("value"), x["before"].alias("before"), x["after"].alias("after")),
-    )
+    none, edge = F.lit(""), F.lit(AROUND)
+    tails, heads = F.transform(gaps, lambda g: F.right(g, edge)), F.transform(gaps, lambda g: F.left(g, edge))
+
+    def moved(array: Column | str, by: int) -> Column:
+        """For each match the array's entry so many places on (or back)."""
+        if by < 0:
+            whole = F.concat(F.array_repeat(none, -by), F.slice(array, F.lit(1), n))
+            return F.slice(whole, F.lit(1), n)
+        return F.slice(F.concat(F.slice(array, F.lit(by + 1), n), F.array_repeat(none, by)), F.lit(1), n)
+
+    sides = {f"b{i}": moved(tails, -i) for i in range(NEIGHBOURS + 1)} | {f"a{i}": moved(heads, i + 1) for i in range(NEIGHBOURS + 1)}
+    sides |= {f"p{i}": moved(found, -i) for i in range(1, NEIGHBOURS + 1)} | {f"q{i}": moved(found, i) for i in range(1, NEIGHBOURS + 1)}
+    every = F.arrays_zip(
+        F.transform(gaps, lambda g: F.char_length(g)).alias("gap"), F.col(found).alias("value"), *[c.alias(name) for name, c in sides.items()]
+    )
+
+    def piece(x: Column) -> Column:
+        before, after = [x["b0"]], [x["a0"]]
+        for i in range(1, NEIGHBOURS + 1):
+            before = [x[f"b{i}"], x[f"p{i}"], *before]
+            after = [*after, x[f"q{i}"], x[f"a{i}"]]
+        return F.struct(
+            x["gap"].alias("gap"), F.char_length(x["value"]).alias("len"), x["value"].alias("value"),
+            F.right(F.concat(*before), edge).alias("before"), F.left(F.concat(*after), edge).alias("after"),
+        )
+
+    # The gap after the last match has no match of its own.
+    return F.transform(F.slice(every, F.lit(1), n), piece)
 
 
 def _span(at: Column, p: Column) -> Column:
@@ -122,15 +154,25 @@ def _spans_of(docs: DataFrame) -> DataFrame:
     )
 
 
+def _words(side: Column) -> Column:
+    """The words of what lies on one side, without those that may be identifiers."""
+    return F.filter(F.split(F.lower(side), r"[\x20\x09-\x0D]+"), lambda w: (w != "") & ~w.rlike("[0-9@]"))
+
+
 def _patterns(before: Column, after: Column) -> Column:
     """Two patterns: the two words before, and one word on either side."""
-    left = F.filter(F.split(F.lower(before), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    right = F.filter(F.split(F.lower(after), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    left, right = _words(before), _words(after)
     one, two = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2))
     next_ = F.try_element_at(right, F.lit(1))
     return F.filter(F.array(F.concat(two, F.lit(" "), one, F.lit(" _")), F.concat(one, F.lit(" _ "), next_)), lambda p: p.isNotNull())
 
 
+def _instance(value: Column) -> Column:
+    """What is mentioned, however it is grouped."""
+    lower = F.lower(value)
+    return F.when(lower.rlike("[a-z@]"), lower).otherwise(F.regexp_replace(lower, r"[\x20()-]+", ""))
+
+
 def confident(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """Edges (pattern, instance, seed), each pair once, to the patterns of high
     confidence. Scores are rounded, so that the order of a sum decides nothing."""
@@ -163,12 +205,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     base = F.concat(*[F.transform(k, lambda s: s) for k in KINDS])
     seeds = rows.select(F.explode(base).alias("s")).select(
-        F.lower("s.value").alias("instance"), F.lit(True).alias("seed"), _patterns(F.col("s.before"), F.col("s.after")).alias("p")
+        _instance(F.col("s.value")).alias("instance"), F.lit(True).alias("seed"), _patterns(F.col("s.before"), F.col("s.after")).alias("p")
     )
     value = F.col("s.value")
     lead = F.char_length(F.regexp_extract(value, LEAD, 0))
     trail = F.char_length(F.regexp_extract(value, TRAIL, 0))
-    core = F.lower(F.regexp_replace(F.regexp_replace(value, LEAD, ""), TRAIL, ""))
+    core = _instance(F.regexp_replace(F.regexp_replace(value, LEAD, ""), TRAIL, ""))
     tokens = rows.select("id", "mark", F.explode("token").alias("s")).select(
         "id", "mark", (F.col("s.start") + lead).alias("start"), (F.col("s.end") - trail).alias("end"),
         core.alias("instance"), _patterns(F.col("s.before"), F.col("s.after")).alias("p"),
