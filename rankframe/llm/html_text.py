@@ -4,12 +4,14 @@ trained here on labelled pages (``page_labels``).
 The labels come from a bounded sample of the table: ``SAMPLE`` pages of at most
 ``SAMPLE_CHARS`` characters, the smallest by a hash of their id. A page with one
 article element is labelled by it, and its article is laid out anew ``LAYOUTS``
-times among the parts other sites have. Every page is read whole.
+times among the parts other sites have; where no page has one, the long paragraphs
+of the pages are laid out instead. Every page is read whole.
 
 Defined results: a null or empty page, or one without text, gives an empty text;
 what is left open at a page's end ends there; repeated pages give repeated rows;
 a null id or address is carried along; an empty table gives no rows; where no
-page can be labelled, all text of a page counts as its main text; further columns are left alone.
+page has an article element or a long paragraph, all text of a page counts as its
+main text; further columns are left alone.
 """
 
 from collections.abc import Iterator

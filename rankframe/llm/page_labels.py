@@ -24,6 +24,8 @@ ARTICLE = [
     "<article>", "<main>", '<div class="content">', '<div class="post">', '<div class="entry-content">', '<section class="story">',
     '<div id="main">', '<div class="article-body">', '<div class="text">', '<div class="blog-post">', "<section>", "<div>",
 ]
+# A long paragraph, in characters, and pages laid out where none is marked.
+LONG, LEAST_LAID_OUT = 80, 300
 BEFORE, AFTER = ("nav", "header", "notice", "ad", "share"), ("side", "form", "comments", "related", "share", "ad", "footer")
 
 
@@ -52,6 +54,9 @@ def _part(kind: str, others: list[str], rng: random.Random) -> str:
         inner = "".join(f'<{tag} class="comment"><p>{some(3, 60)}.</p></{tag}>' for _ in range(rng.randint(1, 5)))
     elif kind == "footer":
         inner = f"&copy; {some(1, 3)} &middot; {some(3, 14)}."
+    elif kind == "header" and rng.random() < 0.7:
+        level = rng.choice(("h1", "h2", "h2", "h3"))
+        inner = f"<{level}>{some(1, 5)}</{level}>"
     elif kind == "side":
         inner = f"<h3>{some(1, 4)}</h3><p>{some(5, 40)}.</p>"
     else:
@@ -104,12 +109,23 @@ def _labels(tree: Tree, begins, ends) -> np.ndarray:
     return labels
 
 
+def long_paragraphs(page: str) -> list[str]:
+    """The page's texts of ``LONG`` characters or more that are not mostly links."""
+    return [text for _, text, linked in Tree(page).blocks if len(text) >= LONG and 3 * linked < len(text)]
+
+
 def training_set(pages: list[str], layouts: int, seed: int) -> tuple[list[Tree], list[np.ndarray]]:
-    """Each page by its markup, and its article laid out ``layouts`` times."""
+    """Each page by its markup, and its article laid out ``layouts`` times. Where
+    no page marks its article, the long paragraphs of a page take its place, and
+    are laid out often enough to make ``LEAST_LAID_OUT`` pages."""
     rng = random.Random(seed)
     marked = [m for m in map(by_markup, pages) if m is not None]
     articles = [[text for node, text, _ in tree.blocks if label[node]][:40] for tree, label in marked]
+    if not marked:
+        articles = [long_paragraphs(page)[:40] for page in pages]
     articles = [a for a in articles if a]
+    if not marked and articles:
+        layouts = max(layouts, -(-LEAST_LAID_OUT // len(articles)))
     others = [text for a in articles for text in a] or ["text"]
     pairs = marked + [laid_out(a, others, rng) for a in articles for _ in range(layouts)]
     return [t for t, _ in pairs], [y for _, y in pairs]

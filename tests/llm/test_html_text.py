@@ -84,6 +84,51 @@ def test_broken_pages_are_read_in_proportion(model, html):
     assert time.time() - began < 20
 
 
+STORY = [
+    "The harbour was built in three stages, and each of them took longer than the council had promised to the town.",
+    "When the first ships came in, nobody had thought of the tide, so that half of them lay on the sand by evening.",
+    "A second wall was added later; it still stands, and on a clear day you can walk along it to the old lighthouse.",
+]
+# Written by hand: (page, the texts that are its main text).
+BY_HAND = [
+    (
+        '<html><body><nav><a href="/">Home</a> <a href="/news">News</a></nav><div class="content">{0}{1}</div>'
+        '<div class="comments"><div class="comment"><p>reader says hi</p></div></div><footer>copyright 2020 the site</footer></body></html>'
+    ),
+    (
+        '<body><div id="header"><h2>My site</h2></div><ul class="menu"><li><a href=a>One</a><li><a href=b>Two</a></ul><main>{0}{1}{2}</main>'
+        '<aside><h3>More</h3><p>Read on here.</p></aside><form><p>Sign up for news</p><input><button>Go</button></form></body>'
+    ),
+    (
+        '<body><div class="cookie-notice"><p>We use cookies on this site to count visits.</p></div><div class="wrapper"><div class="post">{0}{1}{2}</div>'
+        '<div class="sidebar"><ul><li><a href=x>Old post</a></li><li><a href=y>Older post</a></li></ul></div></div><div id="footer">All rights reserved.</div></body>'
+    ),
+    (
+        '<body><header><a href="/">Logo</a></header><section class="story">{1}{2}</section><div class="ad">Buy one now.</div>'
+        '<section id="comments"><div class="comment"><p>I liked this.</p></div><div class="comment"><p>Me too.</p></div></section></body>'
+    ),
+    '<body><div role="navigation"><a href=1>Start</a></div><div id="main">{0}{2}</div><div class="share"><a href=t>Share</a> <a href=u>Send</a></div></body>',
+]
+
+
+def by_hand(n):
+    import re
+
+    page = BY_HAND[n]
+    used = [STORY[int(i)] for i in re.findall(r"\{(\d)\}", page)]
+    return page.format(*[f"<p>{t}</p>" for t in STORY]), "\n\n".join(used)
+
+
+def test_pages_written_by_hand(spark, model):
+    """By the model of the table, and by one trained on these pages alone, none of which has an article element."""
+    pages = [(n, f"u{n}", by_hand(n)[0]) for n in range(len(BY_HAND))]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert all("<article" not in p for _, _, p in pages)
+    for own in (model, None):
+        got = {r.page_id: r.text for r in H.main_text(frame, own).collect()}
+        assert got == {n: by_hand(n)[1] for n in range(len(BY_HAND))}
+
+
 def test_odd_rows(spark, model):
     schema = "page_id long, url string, html string, text string, n_chars int"
     rows = [(1, "u", None, "x", 1), (2, None, "", "x", 1), (None, "u", "<p>", "x", 1), (3, "u", "no markup at all", "x", 1), (3, "u", "no markup at all", "x", 1)]
