@@ -4,12 +4,12 @@
 """
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.functions.urls import canonical_host, canonical_url, strip
-from rankframe.operators.running import firsts
+from rankframe.functions.urls import canonical_host, canonical_url, let, strip
 
 QUERY = ["job_id", "ordinal"]
 ROW = ["job_id", "ordinal", "page", "position"]
@@ -61,28 +61,54 @@ def seen_key(by: Column | str) -> Column:
     """What repeats are told apart by under a job's filter; null keeps the row."""
     by = F.col(by) if isinstance(by, str) else by
     # An address without a host in it leaves the host that was recorded.
+    host = let(canonical_host("url"), lambda own: F.when(own != "", own).otherwise(canonical_host("host")))
     key = (
         F.when(by == "url", F.when(strip("url") != "", canonical_url("url")))
-        .when(by == "host", F.coalesce(F.nullif(canonical_host("url"), F.lit("")), canonical_host("host")))
+        .when(by == "host", host)
         .when(by == "text", strip("title"))
     )
-    return F.when(key != "", key)
+    return let(key, lambda k: F.when(k != "", k))
+
+
+def _keyless(by: Column | str) -> Column:
+    """Rows that have nothing a key could be made of; told without reading an address."""
+    by = F.col(by) if isinstance(by, str) else by
+    blank = {c: F.coalesce(strip(c), F.lit("")) == "" for c in ("url", "host", "title")}
+    nothing = F.when(by == "url", blank["url"]).when(by == "host", blank["url"] & blank["host"]).when(by == "text", blank["title"])
+    return F.coalesce(nothing, F.lit(True))
+
+
+def place_key() -> Column:
+    """(ordinal, page, position) as one number that orders alike; fixed in width,
+    so its minimum is taken by hashing. Pages and positions are below 10 ** 9."""
+    wide = F.col("ordinal").cast("decimal(19,0)") * F.lit(Decimal(10) ** 18).cast("decimal(19,0)")
+    narrow = F.col("page").cast("long") * F.lit(10**9) + F.col("position")
+    return (wide + narrow.cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def first_seen(results: DataFrame, by: Column | str, seen: DataFrame | None = None) -> DataFrame:
     """Keep a job's first row of each key, and every row without a key.
 
-    ``seen`` (job_id, key) holds what earlier runs kept. Repeats are reduced
-    before the shuffle, so a key of any number of copies is no hot spot.
+    ``seen`` (job_id, key) holds what earlier runs kept. Only keys and places are
+    grouped, and reduced before the shuffle, so a key of any number of copies is
+    no hot spot; the rows come back by their place, which spreads evenly. Of rows
+    with one key in one place one is kept.
     """
-    keyed = results.withColumn("__key", seen_key(by))
-    # Rows without a key all stay, so they are neither sorted nor shuffled.
-    alone, known = keyed.where("__key is null"), keyed.where("__key is not null")
-    kept = firsts(known, ["job_id", F.col("__key").alias("__k")], ["ordinal", "page", "position"])
+    # Rows with nothing to make a key of stay as they are, neither sorted nor shuffled.
+    alone, rest = results.where(_keyless(by)), results.where(~_keyless(by))
+    # Exploding one value works the key out once, however often it is read.
+    keyed = rest.select("job_id", place_key().alias("__at"), F.explode(F.array(seen_key(by))).alias("__first"))
+    first = keyed.where("__first is not null").groupBy("job_id", "__first").agg(F.min("__at").alias("__at"))
     if seen is not None:
-        before = seen.select("job_id", F.col("key").alias("__key"))
-        kept = kept.join(before, ["job_id", "__key"], "left_anti").select(*keyed.columns)
-    return kept.unionByName(alone).drop("__key")
+        before = seen.select("job_id", F.col("key").alias("__first"))
+        first = first.join(before, ["job_id", "__first"], "left_anti")
+    # An address may read as nothing after all; such rows have no key either.
+    first = first.unionByName(keyed.where("__first is null").distinct())
+    found = rest.withColumn("__at", place_key()).join(first, ["job_id", "__at"])
+    found = found.withColumn("__key", F.explode(F.array(seen_key(by)))).where(F.col("__key").eqNullSafe(F.col("__first")))
+    twins = Window.partitionBy("job_id", "__at", "__first").orderBy("__at")
+    found = found.withColumn("__copy", F.row_number().over(twins)).where("__copy = 1 or __first is null")
+    return found.select(*results.columns).unionByName(alone)
 
 
 def seen_keys(results: DataFrame, by: Column | str) -> DataFrame:
