@@ -317,11 +317,16 @@ def absolute_link(origin: Column | str, link: Column | str) -> Column:
     )
 
 
+def search_domain(country: Column | str) -> Column:
+    """The engine's domain in a country."""
+    table = F.create_map(*[F.lit(x) for pair in COUNTRY_DOMAINS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(strip(country))), F.lit(DEFAULT_DOMAIN))
+
+
 def search_url(text: Column | str, country: Column | str, language: Column | str, page: Column | str) -> Column:
     """The address a search is asked at; null where there is no text."""
     text, country, language = strip(text), F.lower(strip(country)), F.lower(strip(language))
-    table = F.create_map(*[F.lit(x) for pair in COUNTRY_DOMAINS.items() for x in pair])
-    host = F.coalesce(F.try_element_at(table, country), F.lit(DEFAULT_DOMAIN))
+    host = search_domain(country)
     start = (_col(page) - 1) * RESULTS_PER_PAGE
     asked = F.concat_ws(
         "&",

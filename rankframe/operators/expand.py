@@ -8,8 +8,10 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rankframe.functions.urls import strip
 from rankframe.operators.running import numbered
@@ -147,6 +149,20 @@ def parse_formats(formats: Sequence[str]) -> list[Format]:
     return [parse_format(f.strip()) for f in formats if f.strip()] or [parse_format(DEFAULT_FORMAT)]
 
 
+@F.pandas_udf(StringType())
+def format_fault(formats: pd.Series) -> pd.Series:
+    """Why a job's formats cannot be used; null where they can."""
+
+    def fault(texts: Sequence[str] | None) -> str | None:
+        try:
+            parse_formats([t for t in (() if texts is None else texts) if t is not None])
+        except FormatError as problem:
+            return str(problem)
+        return None
+
+    return formats.map(fault)
+
+
 def expand_queries(queries: DataFrame, formats: Sequence[str]) -> DataFrame:
     """(ordinal, query) of everything the formats make of (ordinal, text).
 

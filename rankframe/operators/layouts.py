@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.functions.urls import absolute_link, displayed_link, search_url
+from rankframe.functions.urls import absolute_link, displayed_link, search_domain, search_url
 from rankframe.operators.running import firsts
 
 PREVIEW_RECORDS = 10
@@ -138,10 +138,34 @@ def preview(rows: DataFrame, layout: Layout, order: Sequence[str]) -> DataFrame:
     return read.orderBy(*order).limit(PREVIEW_RECORDS)
 
 
+def number_text(c: Column) -> Column:
+    """A double in its shortest form: 1 rather than 1.0, 0.0005 rather than 5.0E-4."""
+    size = F.abs(c)
+    plain = F.regexp_replace(c.cast("string").cast("decimal(38,24)").cast("string"), r"\.?0+$", "")
+    # Very small and very large ones keep their exponent, written 1e-7.
+    short = F.replace(F.lower(c.cast("string")), F.lit(".0e"), F.lit("e"))
+    large = F.when(size < 1e21, c.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(short, "e([0-9])", "e+$1"))
+    return F.when(c == 0, "0").when(size < 1e-6, short).when(size < 1e13, plain).otherwise(large)
+
+
 def json_line(layout: Layout) -> Column:
     """A record as one JSON object: keys in order, numbers and yes/no as such."""
-    chosen = [c.value().alias(c.key or c.name) for c in layout.columns()]
-    return F.to_json(F.struct(*chosen), {"ignoreNullFields": "false"})
+    parts, plain = [], []
+
+    def close() -> None:
+        if plain:
+            parts.append(F.regexp_extract(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}), r"(?s)^\{(.*)\}$", 1))
+            plain.clear()
+
+    for c in layout.columns():
+        key = c.key or c.name
+        if c.kind == "score":
+            close()
+            parts.append(F.concat(F.lit(f'"{key}":'), F.coalesce(number_text(c.value().cast("double")), F.lit("null"))))
+        else:
+            plain.append(c.value().alias(key))
+    close()
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def text_line(layout: Layout) -> Column:
@@ -190,17 +214,21 @@ def serp_documents(serps: DataFrame) -> DataFrame:
 
     ``serps`` is what ``pages.extract_serps`` gives, with query, country and
     language: a page's results already stand in one row, so nothing is gathered.
+    A page without an origin belongs to the domain its query is asked at. What
+    was not said (country, language, a snippet) is left out.
     """
+    domain = search_domain(F.col("country"))
+    origin = F.coalesce(F.nullif("origin", F.lit("")), F.concat(F.lit("https://"), domain))
     link = F.transform(
         "results",
         lambda r: F.struct(
             r["position"].alias("position"),
             r["title"].alias("title"),
             F.when(r["url"] != "", r["url"])
-            .otherwise(F.coalesce(absolute_link(F.col("origin"), r["link"])["url"], r["link"]))
+            .otherwise(F.coalesce(absolute_link(origin, r["link"])["url"], r["link"]))
             .alias("link"),
             displayed_link(r["host"], r["display_path"], r["url"]).alias("displayed_link"),
-            r["snippet"].alias("snippet"),
+            F.nullif(r["snippet"], F.lit("")).alias("snippet"),
         ),
     )
     more = F.transform(
@@ -210,8 +238,8 @@ def serp_documents(serps: DataFrame) -> DataFrame:
         ),
     )
     asked = F.struct(
-        F.lit("google").alias("engine"), F.col("query").alias("q"), F.col("country").alias("gl"),
-        F.col("language").alias("hl"), F.lit("desktop").alias("device"),
+        F.lit("google").alias("engine"), F.col("query").alias("q"), F.regexp_replace(domain, r"^www\.", "").alias("google_domain"),
+        F.nullif("country", F.lit("")).alias("gl"), F.nullif("language", F.lit("")).alias("hl"), F.lit("desktop").alias("device"),
     )
     document = F.struct(
         asked.alias("search_parameters"),

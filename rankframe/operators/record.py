@@ -9,6 +9,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankframe.operators.expand import format_fault
 from rankframe.functions.urls import canonical_host, canonical_url, let, strip
 
 QUERY = ["job_id", "ordinal"]
@@ -217,7 +218,8 @@ def validate_jobs(forms: DataFrame) -> DataFrame:
     """Every fault of each job form at once, as an array of codes.
 
     Reads name, kind, unique_by (null = nothing said), target, pages,
-    suggest_limit and fields (null = nothing chosen).
+    suggest_limit, fields (null = nothing chosen) and, where there is such a
+    column, the formats of a search: the first one that cannot be read is named.
     """
     by = effective_filter()
     kind = F.coalesce("kind", F.lit(""))
@@ -235,10 +237,14 @@ def validate_jobs(forms: DataFrame) -> DataFrame:
         "filter without its address": (by == "url") & ~empty & ~keeps("fields", "url"),
         "filter without its host": (by == "host") & ~empty & ~keeps("fields", "host"),
     }
+    codes = [F.when(test, F.lit(code)) for code, test in faults.items()]
+    if "formats" in forms.columns:
+        # The rules of a format are those it is expanded by, so they are asked there.
+        codes.append(F.when(kind == "search", F.concat(F.lit("format: "), format_fault("formats"))))
     return forms.withColumns({
         "filter": by,
         "depth": depth,
-        "faults": F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in faults.items()])),
+        "faults": F.array_compact(F.array(*codes)),
     })
 
 

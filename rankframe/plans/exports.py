@@ -49,11 +49,12 @@ def export_txt(t: Tables) -> DataFrame:
 @query(
     "export_jsonl",
     f"""SELECT job_id, ordinal, rank, '{{"suggestion":"' || title || '","key":"' || q.text || '","related":' || CASE WHEN offtopic THEN 'false' ELSE 'true' END
-         || ',"similarity":' || CASE WHEN similarity IS NULL THEN 'null' WHEN similarity >= 0.5 THEN '1.0' ELSE '0.25' END || ',"ordinal":' || ordinal || '}}' AS line {_ROWS}""",
+         || ',"similarity":' || CASE WHEN similarity IS NULL THEN 'null' WHEN similarity >= 0.5 THEN '1' WHEN ordinal % 3 = 0 THEN '0.0005' WHEN ordinal % 3 = 1 THEN '0' ELSE '-0.25' END || ',"ordinal":' || ordinal || '}}' AS line {_ROWS}""",
     history=True,
 )
 def export_jsonl(t: Tables) -> DataFrame:
-    level = F.when(F.col("similarity").isNotNull(), F.when(F.col("similarity") >= 0.5, 1.0).otherwise(0.25))
+    k = F.col("ordinal") % 3
+    level = F.when(F.col("similarity").isNotNull(), F.when(F.col("similarity") >= 0.5, 1.0).when(k == 0, 0.0005).when(k == 1, 0.0).otherwise(-0.25))
     layout = Y.Layout("completions", ("suggestion", "key", "related", "similarity", "ordinal"), format=Y.JSONL)
     return _rows(t).withColumn("similarity", level).select("job_id", *RESULT_ORDER, Y.json_line(layout).alias("line"))
 
@@ -140,25 +141,46 @@ def history_ndjson(t: Tables) -> DataFrame:
     return Y.history_ndjson(H.site_history(t.h_jobs, t.h_queries, t.h_ranked, HOST))
 
 
+# Countries by number, and the domain a search of each is asked at.
+_COUNTRY = "CASE ordinal % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'uk' WHEN 2 THEN 'zz' ELSE '' END"
+_DOMAIN = "CASE ordinal % 4 WHEN 0 THEN 'google.de' WHEN 1 THEN 'google.co.uk' ELSE 'google.com' END"
+
+
 @query(
     "serp_documents",
-    """SELECT job_id, ordinal, page, count(*) AS results, string_agg(CASE WHEN url <> '' THEN url ELSE 'https://www.google.de' || link END, ' ' ORDER BY position) AS links,
+    f"""SELECT job_id, ordinal, page, count(*) FILTER (WHERE copy = 1) AS results, string_agg(CASE WHEN url <> '' THEN url ELSE 'https://www.' || domain || link END, ' ' ORDER BY position) FILTER (WHERE copy = 1) AS links,
          string_agg(CASE WHEN host = '' AND url = '' THEN '' ELSE CASE WHEN url LIKE 'http://%' THEN 'http' ELSE 'https' END || '://' ||
-           CASE WHEN host <> '' THEN host || ' › ' || display_path ELSE lower(regexp_extract(url, '^https?://([^/]*)', 1)) END END, ' ' ORDER BY position) AS shown
-       FROM (SELECT *, row_number() OVER (PARTITION BY job_id, ordinal, page, CASE WHEN url <> '' THEN url ELSE link END ORDER BY position) AS copy FROM h_results)
-       WHERE copy = 1 GROUP BY 1, 2, 3""",
+           CASE WHEN host <> '' THEN host || ' › ' || display_path ELSE lower(regexp_extract(url, '^https?://([^/]*)', 1)) END END, ' ' ORDER BY position) FILTER (WHERE copy = 1) AS shown,
+         '{{"engine":"google","q":"query ' || ordinal || '","google_domain":"' || any_value(google_domain) || '"' ||
+           CASE WHEN any_value(country) <> '' THEN ',"gl":"' || any_value(country) || '"' ELSE '' END || ',"hl":"en","device":"desktop"}}' AS asked,
+         string_agg(DISTINCT CASE WHEN quantity >= 40 THEN 'more ' || quantity || '|https://www.' || google_domain || '/search?' ||
+           CASE WHEN country <> '' THEN 'gl=' || country || '&' ELSE '' END || 'hl=en&q=more+' || quantity END, ' ' ORDER BY CASE WHEN quantity >= 40 THEN 'more ' || quantity || '|https://www.' || google_domain || '/search?' ||
+           CASE WHEN country <> '' THEN 'gl=' || country || '&' ELSE '' END || 'hl=en&q=more+' || quantity END) AS more,
+         any_value(n_ads) AS ads
+       FROM (SELECT *, row_number() OVER (PARTITION BY job_id, ordinal, page, CASE WHEN url <> '' THEN url ELSE link END ORDER BY position) AS copy,
+           {_COUNTRY} AS country, {_DOMAIN} AS google_domain,
+           CASE WHEN page % 2 = 0 THEN {_DOMAIN} ELSE 'google.fr' END AS domain,
+           1 + count(*) FILTER (WHERE quantity <= 4) OVER (PARTITION BY job_id, ordinal, page) AS n_ads FROM h_results)
+       WHERE copy = 1 OR quantity >= 40 GROUP BY 1, 2, 3""",
     history=True,
 )
 def serp_documents(t: Tables) -> DataFrame:
-    """The documents, read back for the parts that are compared."""
+    """The documents, read back whole; every second page does not know its origin."""
+    k = F.col("ordinal") % 4
+    country = F.when(k == 0, "de").when(k == 1, "uk").when(k == 2, "zz").otherwise("")
+    origin = F.when(F.col("page") % 2 == 0, "").otherwise("https://www.google.fr")
     asked = rendered(t).withColumns(
-        {"query": F.concat(F.lit("query "), "ordinal"), "country": F.lit("de"), "language": F.lit("en")}
+        {"query": F.concat(F.lit("query "), "ordinal"), "country": country, "language": F.lit("en"), "origin": origin}
     )
     documents = Y.serp_documents(P.extract_serps(asked))
-    shape = "struct<organic_results:array<struct<link:string,displayed_link:string>>,ads_omitted:int>"
+    shape = """struct<organic_results:array<struct<link:string,displayed_link:string>>,ads_omitted:int,
+        related_searches:array<struct<query:string,link:string>>>"""
     read = documents.withColumn("d", F.from_json("document", shape))
-    organic = F.col("d.organic_results")
+    organic, more = F.col("d.organic_results"), F.col("d.related_searches")
     return read.select(
         *PAGE, F.size(organic).cast("long").alias("results"), F.array_join(organic["link"], " ").alias("links"),
         F.array_join(organic["displayed_link"], " ").alias("shown"),
+        F.regexp_extract("document", r'^\{"search_parameters":(\{[^}]*\})', 1).alias("asked"),
+        F.array_join(F.array_sort(F.transform(more, lambda m: F.concat(m["query"], F.lit("|"), m["link"]))), " ").alias("more"),
+        F.col("d.ads_omitted").cast("long").alias("ads"),
     )

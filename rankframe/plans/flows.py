@@ -120,12 +120,13 @@ def stream_rhythm(t: Tables) -> DataFrame:
 @query(
     "stream_score",
     """SELECT c.conv_id, c.turn, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
-       FROM conversations c LEFT JOIN embeddings a ON a.vec_id = c.conv_id % 50 LEFT JOIN embeddings b ON b.vec_id = c.turn""",
+       FROM conversations c LEFT JOIN embeddings a ON a.vec_id = c.conv_id % (SELECT count(*) FROM embeddings)
+         LEFT JOIN embeddings b ON b.vec_id = (c.conv_id * 31 + c.turn) % (SELECT count(*) FROM embeddings)""",
 )
 def stream_score(t: Tables) -> DataFrame:
-    rows = _stream(t, "conversations").select(
-        "conv_id", "turn", (F.col("conv_id") % 50).cast("string").alias("key"), F.col("turn").cast("string").alias("text")
-    )
+    n = t.embeddings.count()
+    asked, said = F.col("conv_id") % n, (F.col("conv_id") * 31 + F.col("turn")) % n
+    rows = _stream(t, "conversations").select("conv_id", "turn", asked.cast("string").alias("key"), said.cast("string").alias("text"))
     vectors = t.embeddings.select(F.col("vec_id").cast("string").alias("phrase"), F.col("embedding").alias("vector"))
     scored = _appended(t, W.stream_score(rows, vectors))
     return scored.select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))

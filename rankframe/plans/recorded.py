@@ -210,7 +210,10 @@ def retry_moved(t: Tables) -> DataFrame:
            CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'url' WHEN 3 THEN 'host' WHEN 4 THEN 'text' ELSE 'sound' END AS unique_by,
            CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'example.com' END AS target,
            CAST(c_custkey % 3 AS INTEGER) AS pages, CAST(c_custkey % 5 - 1 AS INTEGER) AS suggest_limit,
-           CASE c_custkey % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'title' WHEN 2 THEN 'url' ELSE 'all' END AS keep
+           CASE c_custkey % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'title' WHEN 2 THEN 'url' ELSE 'all' END AS keep,
+           CASE c_custkey % 13 WHEN 1 THEN 'the format has no {query}' WHEN 2 THEN 'the last number is below the first'
+             WHEN 3 THEN 'the bounds are one character each' WHEN 4 THEN 'the rounds are one or more'
+             WHEN 5 THEN 'the last character comes before the first' END AS format_fault
          FROM customer),
        f AS (SELECT *, CASE WHEN kind IN ('index', 'position') THEN ''
            WHEN kind = 'suggest' AND (unique_by IS NULL OR unique_by IN ('url', 'host')) THEN 'text'
@@ -225,7 +228,8 @@ def retry_moved(t: Tables) -> DataFrame:
          CASE WHEN kind = 'suggest' AND suggest_limit < 0 THEN 'limit below zero' END,
          CASE WHEN keep = 'none' THEN 'no field kept' END,
          CASE WHEN filter = 'url' AND keep = 'title' THEN 'filter without its address' END,
-         CASE WHEN filter = 'host' AND keep IN ('title', 'url') THEN 'filter without its host' END) AS faults
+         CASE WHEN filter = 'host' AND keep IN ('title', 'url') THEN 'filter without its host' END,
+         CASE WHEN kind = 'search' THEN 'format: ' || format_fault END) AS faults
        FROM f""",
 )
 def validate_jobs(t: Tables) -> DataFrame:
@@ -233,6 +237,8 @@ def validate_jobs(t: Tables) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("search", "position", "index", "suggest", "crawl")])
     rules = F.array(*[F.lit(x) for x in (None, "", "url", "host", "text", "sound")])
     none = F.array().cast("array<string>")
+    texts = (None, "no macro", "{query} {num:9:1}", "{abc:aa:z:1} {query}", "{query}{ABC:a:z:0}", "{abc:z:a:1}{query}", "{query} {other}")
+    formats = F.array(*[F.lit(x) for x in texts])
     forms = t.customer.select(
         k.alias("job_id"),
         F.when(k % 11 == 0, "  ").otherwise(F.col("c_name")).alias("name"),
@@ -242,6 +248,7 @@ def validate_jobs(t: Tables) -> DataFrame:
         (k % 3).cast("int").alias("pages"),
         (k % 5 - 1).cast("int").alias("suggest_limit"),
         F.when(m == 0, none).when(m == 1, F.array(F.lit("title"))).when(m == 2, F.array(F.lit("url"))).alias("fields"),
+        F.array(F.lit(" "), F.lit("{Query} in {num:1:3}"), F.get(formats, (k % 13).cast("int"))).alias("formats"),
     )
     return R.validate_jobs(forms).select("job_id", "filter", F.array_join("faults", ",").alias("faults"))
 

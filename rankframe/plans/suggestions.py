@@ -13,6 +13,7 @@ from rankframe.operators import suggest as S
 from rankframe.operators.running import numbered
 from rankframe.plans.registry import query
 from rankframe.plans.views import Tables
+from rankframe.sources.readers import spread
 
 FORMATS = ["{query}", "  ", "{qery} {num:1:3}", '"{QUERY}" {ABC:a:c:2}-{num:0:1}', "{query} {x}"]
 
@@ -219,7 +220,7 @@ _CUT = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda
 def words(t: Tables) -> DataFrame:
     # Three Latin letters written as Cyrillic ones come back as their spellings.
     cyrillic = F.translate(F.lower("text"), "abo", "жщь")
-    rows = t.documents.select("doc_id", X.words(cyrillic).alias("w"))
+    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", X.words(cyrillic).alias("w"))
     return rows.select("doc_id", F.size("w").cast("long").alias("words"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
@@ -239,7 +240,7 @@ _STEM = "greatest(4, CAST(ceil(least(length(a), length(b)) * 2 / 3) AS INTEGER))
 def same_word(t: Tables) -> DataFrame:
     """Neighbouring words of the documents that are one word in two forms."""
     plain = F.translate(F.lower("text"), _ACCENTED, _PLAIN)
-    rows = t.documents.select(F.split(plain, "[^a-z0-9]+").alias("w"))
+    rows = spread(t.documents.select("text")).select(F.split(plain, "[^a-z0-9]+").alias("w"))
     pairs = F.arrays_zip(
         F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w")).alias("b")
     )
@@ -304,11 +305,12 @@ def related_to_key(t: Tables) -> DataFrame:
 
 
 def _vectors(t: Tables) -> DataFrame:
-    """The vectors of the history's phrases: "query 7" and "title 7" by number."""
+    """The vectors of the history's phrases by number, dealt over the whole table."""
+    n = t.embeddings.count()
     named = t.embeddings.select(F.col("vec_id"), "embedding")
-    queries = t.h_queries.select(F.col("text").alias("phrase"), (F.col("query_id") % 100).alias("vec_id"))
+    queries = t.h_queries.select(F.col("text").alias("phrase"), (F.col("query_id") % n).alias("vec_id"))
     titles = t.h_results.select(F.col("title").alias("phrase")).distinct()
-    titles = titles.withColumn("vec_id", F.substring("phrase", 7, 10).cast("long"))
+    titles = titles.withColumn("vec_id", F.substring("phrase", 7, 10).cast("long") * 37 % n)
     return queries.unionByName(titles).join(named, "vec_id").select("phrase", F.col("embedding").alias("vector"))
 
 
@@ -354,8 +356,8 @@ def dequantise_vectors(t: Tables) -> DataFrame:
     "score_backfill",
     """SELECT r.job_id, r.ordinal, page, position, round(CASE WHEN r.similarity IS NOT NULL THEN r.similarity
            ELSE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) END, 6) AS similarity
-       FROM h_results r LEFT JOIN embeddings a ON a.vec_id = r.ordinal % 100
-       LEFT JOIN embeddings b ON b.vec_id = CAST(substr(title, 7) AS BIGINT)""",
+       FROM h_results r LEFT JOIN embeddings a ON a.vec_id = r.ordinal % (SELECT count(*) FROM embeddings)
+       LEFT JOIN embeddings b ON b.vec_id = CAST(substr(title, 7) AS BIGINT) * 37 % (SELECT count(*) FROM embeddings)""",
     history=True,
 )
 def score_backfill(t: Tables) -> DataFrame:

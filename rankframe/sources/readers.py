@@ -39,8 +39,16 @@ def read_query_list(spark: SparkSession, path: str, allow_empty: bool = False) -
     return listed
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over every core, where the files they come from make fewer tasks
+    than that (one file of one row group, say). For work that is heavy per row;
+    select the columns first, since they are shuffled once."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_captures(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Captured pages; a body over the limit is marked when it is read (``pages``)."""
+    """Captured pages, bodies of any length."""
     return spark.read.schema(CAPTURES).format(format).load(path)
 
 
