@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from rankframe.llm.common import settled
 
 SALTS = 16
+# Marks of texts that occur twice, as many as may be broadcast.
+BROADCAST_MARKS = 1_000_000
 
 
 def sha256(text: Column) -> Column:
@@ -95,13 +97,23 @@ def without_copies(
 ) -> DataFrame:
     """The documents that stay, with all their columns: of equal texts the row
     with the largest id (of rows that share it, the one whose other columns
-    come last as JSON). The text is the group's key, so no join follows."""
+    come last as JSON). Marks of 8 bytes are counted first; a document whose mark
+    occurs once is alone and is not shuffled. The others, which a shared mark may
+    have brought together, go through the three stages by digest and text."""
     # Columns go by their place, so that no name of theirs can clash.
     held = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text_col}
-    row = F.struct(F.col(text_col).isNull().alias("none"), *[F.col(f"`{c}`").alias(f) for c, f in held.items()])
-    rank = F.struct(F.col(id_col).alias("id"), F.to_json(row).alias("rest"))
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), row.alias("__row"), rank.alias("__rank"))
+    row = F.struct(F.col(f"`{text_col}`").isNull().alias("none"), *[F.col(f"`{c}`").alias(f) for c, f in held.items()])
+    rank = F.struct(F.col(f"`{id_col}`").alias("id"), F.to_json(row).alias("rest"))
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"), row.alias("__row"), rank.alias("__rank"))
+    rows = rows.withColumn("__mark", F.xxhash64("__text"))
+    marks = rows.groupBy("__mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__mark")
+    marks = settled(marks, "marks")
+    # 16 bytes each where they are broadcast; beyond the bound both sides are shuffled.
+    shared = F.broadcast(marks) if marks.count() <= BROADCAST_MARKS else marks
+    alone = rows.join(shared, "__mark", "left_anti").select("__text", "__row")
+    several = rows.join(shared, "__mark", "left_semi").select("__text", "__row", "__rank")
     best = lambda: [F.max_by("__row", "__rank").alias("__row"), F.max("__rank").alias("__rank")]
-    kept = _combined(rows.withColumn("__digest", digest(F.col("__text"))), salts, best, best)
+    kept = _combined(several.withColumn("__digest", digest(F.col("__text"))), salts, best, best)
+    kept = alone.unionByName(kept.select("__text", "__row"))
     back = {c: F.col(f"__row.{f}") for c, f in held.items()} | {text_col: F.when(~F.col("__row.none"), F.col("__text"))}
     return kept.select(*[back[c].alias(c) for c in docs.columns])
