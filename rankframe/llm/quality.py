@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from rankframe.llm.common import settled
-from rankframe.llm.wording import words_of
+from rankframe.llm.wording import tidied, words_of
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, LEAST_ROWS, SHARE, STEPS, TAIL = 50, 30, 0.75, 5, 1e-9
@@ -245,18 +245,31 @@ def judged(
     )
 
 
+def _counted_rows(at: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Some rows at a time: a batch may hold many long texts.
+            for start in range(0, len(batch), 1000):
+                some = batch.slice(start, 1000)
+                made = np.array([counted(t.as_py()) for t in some.column(at)], np.int64)
+                yield pa.RecordBatch.from_arrays([*some.columns, *[pa.array(c) for c in made.T]], names=[*some.schema.names, *COUNTS])
+
+    return count
+
+
 def without_outliers(
     docs: DataFrame, text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), tail: float = TAIL, **how
 ) -> DataFrame:
-    """The documents that are kept, with all their columns. The statistics are
-    worked out again where the rows are read, so the texts are not shuffled."""
+    """The documents that are kept, with all their columns. The counts are made
+    once and written beside the rows, which are read again where they are judged."""
+    # Columns go by their place, so that no name of theirs can clash.
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    inner = tuple(f"g_{i}" for i in range(len(group_cols)))
-    with_stats = row.select(
-        "row", *[F.col(f"row.`{c}`").alias(g) for c, g in zip(group_cols, inner)], statistics(F.col(f"row.`{text_col}`")).alias("stats")
-    )
-    rows = settled(with_stats.select("stats", *_grouped(inner, F.col("stats"))), "statistics")
-    fitted = pooled(rows.where(~base_failed(F.col("stats"))), len(group_cols) + 1, **how)
-    joined, kept = _judged(with_stats.select("row", "stats", *_grouped(inner, F.col("stats"))), fitted, tail)
-    return joined.where(kept).select("row.*")
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in plain.schema], *[f"{c} long" for c in COUNTS]])
+    counts = settled(plain.mapInArrow(tidied(_counted_rows(names.index(text_col))), schema), "counted")
+    groups = tuple(f"c{names.index(c)}" for c in group_cols)
+    rows = counts.withColumn("stats", F.struct(*COUNTS))
+    rows = rows.select(*plain.columns, "stats", *_grouped(groups, F.col("stats")))
+    fitted = pooled(rows.drop(*plain.columns).where(~base_failed(F.col("stats"))), len(group_cols) + 1, **how)
+    joined, kept = _judged(rows, fitted, tail)
+    return joined.where(kept).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
