@@ -1,33 +1,35 @@
 """Helpers that the operators of this folder share."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankframe.session import shared_folder
+
 # A word is a run of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where a session on one
-    machine names none (tests), a temporary one is set; a cluster must name its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
-        folder = tempfile.mkdtemp(prefix="rankframe-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+# Folders that this process has written.
+_WRITTEN: list[str] = []
 
 
 def settled(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: a cut in lineage
     that outlives any executor, and one evaluation for several readers."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    folder = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _WRITTEN.append(folder)
+    frame.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+
+def cleared(spark: SparkSession) -> int:
+    """Delete what this process has settled so far, and say how many tables that
+    were. For when the results are written: frames returned earlier read them."""
+    jvm, held = spark._jvm, len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return held
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

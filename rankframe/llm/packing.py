@@ -26,35 +26,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.llm.common import settled
+from rankframe.llm.wording import WordTable
 
 CAPACITY, END, NEARLY_FULL, PER_TASK, FAN = 4096, 1, 0.995, 50_000, 8
-# Words a task remembers the ids of, and words it looks up at once.
-KNOWN_WORDS, AT_ONCE = 600_000, 100_000
+# Bytes of words a worker remembers the ids of, and words it looks up at once.
+ROOM, AT_ONCE = 96 << 20, 100_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 _MARKS = "".join(c for c in map(chr, range(256)) if not c.isalnum() and not c.isspace())
 
 
-class _Words(dict):
+class _Words(WordTable):
     """The packed ids of a word, worked out once. The tokenizer drops white space
     and no token crosses it, nor the step from a letter to a mark."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__(ROOM)
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _keep(self, word: str, packed: bytes) -> bytes:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = packed
-        return packed
+        return self.keep(word, packed, len(packed))
 
     def __missing__(self, word: str) -> bytes:
+        if (known := self.recalled(word, len)) is not None:
+            return known
         core = word.rstrip(_MARKS)
         if core != word and core.isalpha() and _latin(word):
             return self._keep(word, self[core] + self[word[len(core) :]])
@@ -64,8 +64,9 @@ class _Words(dict):
     def learn(self, words: set[str]) -> None:
         """Encode what is unknown, many plain words in one call: each ends with a
         token that only ends words."""
-        cores = {w.rstrip(_MARKS) for w in words.difference(self)}
-        plain = [w for w in cores.difference(self) if w.isalpha() and len(w) <= 64 and _latin(w)]
+        fresh = (w for w in words.difference(self) if self.recalled(w, len) is None)
+        cores = {w.rstrip(_MARKS) for w in fresh}
+        plain = [w for w in cores.difference(self) if w.isalpha() and len(w) <= 64 and _latin(w) and self.recalled(w, len) is None]
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids

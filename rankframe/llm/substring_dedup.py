@@ -33,9 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.llm.common import settled
-from rankframe.llm.wording import ODD_SPACE, mixed_bits
+from rankframe.llm.wording import ODD_SPACE, WordTable, mixed_bits
 
-KNOWN_WORDS = 300_000
 # Sizes are in words; a word has ``HALVES``, a character of a script without spaces one.
 HALVES = 2
 LONG, LEAST_UNIT, LEAST_WORDS, LEAST_LINE, SHORT_LINE = 16, 4, 10, 5, 2
@@ -46,7 +45,7 @@ _HAS_DENSE = re.compile(f"[{_DENSE}]")
 _DENSE_WORD = re.compile(rf"[{_DENSE}][^\w{_DENSE}\x20\x09-\x0d\u3000]*|[^{_DENSE}\x20\x09-\x0d\u3000]+")
 _LIGHT = re.compile(f"[{_DENSE}\u3000-\u303f]")
 _NOBODY = object()
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _FAR = np.uint64(0x9E3779B97F4A7C15), np.uint64(3 * 0x9E3779B97F4A7C15 % (1 << 64))
 # What a word ends: nothing, a clause or a sentence.
 _ENDS = dict.fromkeys(",;:،؛、，；：､፣፤፥၊᠂", 1) | dict.fromkeys(".!?…。．！？｡؟۔।॥።፧։׃။។៕།༎᠃", 2)
 REMOVED = "array<struct<start:int,end:int,first_id:{},n_words:int>>"
@@ -67,24 +66,22 @@ def _plain(word: str) -> str:
     return word[a:b]
 
 
-class _Known(dict):
+class _Known(WordTable):
     """A word's hash in normal form, with what it ends in the two lowest bits and its size in the next two."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
+        if (known := self.recalled(word)) is not None:
+            return known
         plain = _plain(word)
         value = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) & ~15
         value |= _ENDS.get(word.rstrip("\"'»”’)]」』）】》〉］")[-1:], 0)
         value |= (1 if _LIGHT.match(word) else HALVES) << 2
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
+        return self.keep(word, value)
 
 
-_KNOWN = _Known()
+_KNOWN = _Known(64 << 20)
 
 
 def _words_by(text: str) -> re.Pattern:
@@ -123,7 +120,7 @@ def _chosen(marks: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndar
     words = marks >> np.uint64(4)
     sizes = (marks >> np.uint64(2)) & np.uint64(3)
     value = words.copy()
-    for d, step in ((1, _STEP), (2, _STEP * np.uint64(3))):
+    for d, step in ((1, _STEP), (2, _FAR)):
         value[d:] += mixed_bits(words[:-d] + step)
     value = mixed_bits(value)
     ok = (before >= LEAST_UNIT * HALVES) & (after >= LEAST_UNIT * HALVES)
