@@ -4,13 +4,21 @@ Fisher-Yates in one task and written.
 
 The shard follows from the key and the number of shards alone (the shard whose
 seeded hash of the key is highest), so one more shard takes records only into
-itself. Within a shard a second hash picks the bucket; the number of buckets
-follows from the bytes, so a bucket's size stays the same at any scale.
+itself. Within a shard a second hash picks the bucket; the number of a shard's
+buckets follows from its own bytes, so a bucket's size stays the same at any
+scale, also where one key holds a third of all rows. Rows with equal key and text
+that come to much of a bucket are numbered in the order of their whole rows, by
+ranges, and their number picks the bucket too.
+
+Before it is shuffled a bucket is put in the order of a hash over whole rows, so
+the places do not depend on how rows arrive; rows that are equal throughout may
+stand for one another.
 
 Defined results: a null text has no bytes; a null key is a key like any other;
 rows with the same key share a shard, and are spread over its buckets by their
-text; an empty table gives no rows; further columns are carried along, and one
-that is named like an output column is refused.
+text, and by number where texts are equal too; an empty table gives no rows;
+further columns are carried along, and one that is named like an output column
+is refused.
 """
 
 import math
@@ -22,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankframe.llm.common import settled
+from rankframe.llm.merkle import placed
 
 SHARDS, BUCKET_BYTES, LEAST_BUCKETS, SEED = 16, 16 << 20, 4, 20240229
 OWN = ("shard", "bucket", "place")
@@ -43,15 +52,15 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.greatest(*[F.struct(_chance(key, i, seed).alias("h"), F.lit(i).alias("i")) for i in range(shards)])["i"]
 
 
-def _shuffled(id_col: str, text_col: str, seed: int):
+def _shuffled(seed: int):
     def shuffle(key: tuple, bucket: pa.Table) -> pa.Table:
         """A fixed order first, since rows arrive in any; then the permutation."""
-        order = pc.sort_indices(bucket, sort_keys=[(id_col, "ascending"), (text_col, "ascending")])
+        order = pc.sort_indices(bucket.column("__row"))
         rng = np.random.default_rng([seed, key[0].as_py(), key[1].as_py()])
         # numpy's shuffle is Fisher-Yates.
         places = np.array(order)
         rng.shuffle(places)
-        out = bucket.take(pa.array(places))
+        out = bucket.take(pa.array(places)).drop_columns(["__row"])
         return out.set_column(out.schema.get_field_index("place"), "place", pa.array(np.arange(len(out)), pa.int64()))
 
     return shuffle
@@ -68,16 +77,34 @@ def scattered(
     """The documents in shuffled buckets: their columns, shard, bucket, place."""
     if clash := [c for c in docs.columns if c.lower() in OWN]:
         raise ValueError(f"rename these columns first: {clash}")
-    total = docs.agg(F.sum(size_of(F.col(text_col)))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, math.ceil(total / shards / bucket_bytes))
-    key = F.col(id_col)
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    # One row per shard comes to the driver.
+    sizes = docs.groupBy(shard_of(key, shards, seed).alias("shard")).agg(F.sum(size_of(text)).alias("n")).collect()
+    buckets = {r["shard"]: max(LEAST_BUCKETS, math.ceil(r["n"] / bucket_bytes)) for r in sizes}
+    by_shard = F.array(*[F.lit(buckets.get(i, LEAST_BUCKETS)) for i in range(shards)])
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`").alias(n) for c, n in names.items()],
         shard_of(key, shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(F.lit(~seed), key, F.col(text_col)), F.lit(buckets)).cast("int").alias("bucket"),
-        F.lit(0).cast("long").alias("place"),
+        F.xxhash64(F.lit(~seed), key, text).alias("__mark"),
+        F.xxhash64(whole).alias("__row"),
     )
-    return rows.groupBy("shard", "bucket").applyInArrow(_shuffled(id_col, text_col, seed), rows.schema)
+    per_mark = rows.groupBy("__mark").agg(F.sum(size_of(F.col(names[text_col]))).alias("n"))
+    heavy = settled(per_mark.where(F.col("n") > bucket_bytes // 4).select("__mark"), "heavy")
+    salted = rows.withColumn("__salt", F.col("__mark"))
+    if not heavy.isEmpty():
+        hot = placed(rows.join(heavy, "__mark", "left_semi"), "__mark", ["__row"], "hot").drop("size")
+        hot = hot.withColumn("__salt", F.xxhash64("__mark", "place")).drop("place")
+        salted = salted.join(heavy, "__mark", "left_anti").unionByName(hot)
+    dealt = salted.select(
+        *names.values(), "shard", F.pmod(F.col("__salt"), F.get(by_shard, F.col("shard"))).cast("int").alias("bucket"),
+        F.lit(0).cast("long").alias("place"), "__row",
+    )
+    # As many tasks as buckets, whatever the session's own number is.
+    dealt = dealt.repartition(max(1, sum(buckets.values())), "shard", "bucket")
+    out = dealt.groupBy("shard", "bucket").applyInArrow(_shuffled(seed), dealt.drop("__row").schema)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *OWN)
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
