@@ -2,12 +2,16 @@
 the minimum covariance determinant of transformed text statistics, and a
 Mahalanobis distance for every document.
 
-The estimate starts at medians and median deviations and takes concentration
-steps over all rows: distances are counted in narrow logarithmic bins together
-with the moments of their rows, and the bins that hold the nearest ``share`` of
-a group give the next mean and covariance. A group is reduced to its bins
-before the shuffle, so its size does not matter. ``FLOORS`` is the least spread
-of each statistic: what hardly varies in a group must not make trifles outliers.
+The estimate is looked for from several starts: medians and median deviations,
+means and covariances, and small random sets of rows. From each, concentration
+steps go over all rows: distances are counted in narrow logarithmic bins together
+with the moments of their rows, and the bins that hold the nearest ``share`` of a
+group give the next mean and covariance. After ``TRIAL`` steps the start with the
+least determinant goes on, until its determinant falls no more. A group is reduced
+to its bins before the shuffle, so its size does not matter, and all groups are
+estimated in the same passes. ``FLOORS`` is the least spread of each statistic, and
+of any mixture of them in these units: what hardly varies in a group must not
+make trifles outliers.
 
 Defined results: a null or empty text has no words and fails the base rule; null
 languages and sources are groups like any other; groups of fewer than
@@ -32,10 +36,13 @@ from rankframe.llm.common import settled
 from rankframe.llm.wording import tidied, words_of
 
 SYMBOLS = "#*$%&|<>"
-LEAST_WORDS, LEAST_ROWS, SHARE, STEPS, TAIL = 50, 30, 0.75, 5, 1e-9
+LEAST_WORDS, LEAST_ROWS, SHARE, TAIL = 50, 30, 0.75, 1e-9
+# Random sets of rows to start from and their rows on average, steps of every
+# start, steps of the best one at most, and the fall of a log determinant that counts.
+SETS, SET_ROWS, TRIAL, STEPS, LEAST_FALL, SEED = 3, 20, 2, 15, 1e-6, 11
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # Words, word length, symbols per word, repeated lines, repeated windows.
-FLOORS = (0.5, 0.1, 0.1, 0.1, 0.1)
+FLOORS = (0.5, 0.1, 0.05, 0.1, 0.1)
 P = len(FLOORS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _BLANK = " \t\n\r\x0b\x0c"
@@ -145,72 +152,123 @@ def _start(rows: DataFrame) -> DataFrame:
     return ordered.select("group", F.transform("axes", lambda a: a["c"]).alias("centre"), inverse.alias("inverse"))
 
 
+def bounded(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inverse and log determinant of a covariance whose spread is nowhere below ``FLOORS``."""
+    units = np.array(FLOORS)
+    values, vectors = np.linalg.eigh(cov / np.outer(units, units))
+    values = np.maximum(values, 1.0)
+    inverse = (vectors / values) @ vectors.T / np.outer(units, units)
+    return inverse, float(np.log(values).sum() + 2 * np.log(units).sum())
+
+
 def _inverted(correction: float):
-    """Moments of the nearest rows to centre and inverse covariance, one row per group."""
+    """Moments of rows to centre, inverse covariance and log determinant, one row per group and start."""
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            centres, inverses = [], []
+            centres, inverses, dets = [], [], []
             for row in batch.to_pylist():
                 mean = np.array(row["sums"]) / row["n"]
                 cov = np.zeros((P, P))
                 for (i, j), s in zip(PAIRS, row["products"]):
                     cov[i, j] = cov[j, i] = s / row["n"] - mean[i] * mean[j]
-                inverse = np.linalg.inv(correction * cov + np.diag(np.square(FLOORS)))
+                inverse, det = bounded(correction * cov)
                 centres.append(mean.tolist())
                 inverses.append([inverse[i, j] for i, j in PAIRS])
+                dets.append(det)
             floats = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(centres, floats), pa.array(inverses, floats)], names=["group", "centre", "inverse"]
+                [batch.column(0), batch.column(1), pa.array(centres, floats), pa.array(inverses, floats), pa.array(dets, pa.float64())],
+                names=["group", "start", "centre", "inverse", "det"],
             )
 
     return invert
 
 
-def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """``rows`` (group, x0, x1, …) to one row per group large enough: group, centre, inverse."""
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    current = settled(_start(rows).join(sizes.where(F.col("size") >= least_rows), "group"), "start")
-    sizes = current.select("group", "size")
-    current = current.drop("size")
+ESTIMATE = "group string, start int, centre array<double>, inverse array<double>, det double"
+
+
+def _x() -> list[Column]:
+    return [F.col(f"x{i}") for i in range(P)]
+
+
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    x = _x()
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)],
+        *[F.sum(x[i] * x[j]).alias(f"p{n}") for n, (i, j) in enumerate(PAIRS)],
+    )
+
+
+def _estimated(moments: DataFrame, correction: float) -> DataFrame:
+    sums, products = F.array(*[f"s{i}" for i in range(P)]), F.array(*[f"p{n}" for n in range(len(PAIRS))])
+    return moments.select("group", "start", "n", sums.alias("sums"), products.alias("products")).mapInArrow(_inverted(correction), ESTIMATE)
+
+
+def starts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Where the search begins: one row per group and start."""
+    medians = _start(rows).select("group", F.lit(0).alias("start"), "centre", "inverse", F.lit(float("inf")).alias("det"))
+    whole = float(1 << 62)
+    draws = [F.pmod(F.xxhash64(F.lit(SEED + n), *_x()), F.lit(1 << 62)) < F.lit(whole * SET_ROWS) / F.col("size") for n in range(SETS)]
+    which = F.array_compact(F.array(F.lit(1), *[F.when(d, F.lit(2 + n)) for n, d in enumerate(draws)]))
+    drawn = rows.join(sizes, "group").withColumn("start", F.explode(which))
+    # A set of fewer rows than it has directions says nothing.
+    sets = _moments(drawn, "group", "start").where((F.col("start") == 1) | (F.col("n") > P))
+    return medians.unionByName(_estimated(sets, 1.0).withColumn("det", F.lit(float("inf"))))
+
+
+def concentrated(rows: DataFrame, sizes: DataFrame, current: DataFrame, share: float) -> DataFrame:
+    """One step from each of the estimates: those of the ``share`` of rows nearest to it."""
     # The nearest share of a normal sample is narrower than the whole.
     correction = share / chi2_below(chi2_quantile(share, P), P + 2)
-    x = [F.col(f"x{i}") for i in range(P)]
-    for step in range(steps):
-        near = rows.join(current, "group")
-        cell = F.floor(50 * F.log(F.greatest(_distance(x, F.col("centre"), F.col("inverse")), F.lit(0.0)) + 1e-6))
-        cells = near.groupBy("group", cell.alias("cell")).agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)],
-            *[F.sum(x[i] * x[j]).alias(f"p{n}") for n, (i, j) in enumerate(PAIRS)],
-        )
-        before = Window.partitionBy("group").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-        kept = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sizes, "group")
-        kept = kept.where(F.col("before") < F.ceil(F.col("size") * share))
-        moments = kept.groupBy("group").agg(
-            F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(P)], *[F.sum(f"p{n}").alias(f"p{n}") for n in range(len(PAIRS))]
-        )
-        moments = moments.select(
-            "group", "n", F.array(*[f"s{i}" for i in range(P)]).alias("sums"), F.array(*[f"p{n}" for n in range(len(PAIRS))]).alias("products")
+    near = rows.join(current.select("group", "start", "centre", "inverse"), "group")
+    cell = F.floor(50 * F.log(F.greatest(_distance(_x(), F.col("centre"), F.col("inverse")), F.lit(0.0)) + 1e-6))
+    cells = _moments(near.withColumn("cell", cell), "group", "start", "cell")
+    before = Window.partitionBy("group", "start").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    kept = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sizes, "group")
+    kept = kept.where(F.col("before") < F.ceil(F.col("size") * share))
+    sums = ["n", *[f"s{i}" for i in range(P)], *[f"p{n}" for n in range(len(PAIRS))]]
+    return _estimated(kept.groupBy("group", "start").agg(*[F.sum(c).alias(c) for c in sums]), correction)
+
+
+def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """``rows`` (group, x0, x1, …) to one row per group: the estimate of least determinant."""
+    sizes = settled(rows.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    current = settled(starts(rows, sizes), "starts")
+    for n in range(TRIAL):
+        current = settled(concentrated(rows, sizes, current, share), f"trial{n}")
+    best = current.groupBy("group").agg(F.min_by(F.struct("start", "centre", "inverse", "det"), F.struct("det", "start")).alias("b"))
+    best = settled(best.select("group", "b.*", F.lit(True).alias("falls")), "best")
+    for n in range(steps):
+        falling = best.where("falls")
+        if falling.isEmpty():
+            break
+        made = concentrated(rows, sizes, falling, share).select("group", F.struct("centre", "inverse", "det").alias("new"))
+        better = F.coalesce(F.col("new.det") < F.col("det") - LEAST_FALL, F.lit(False))
+        best = best.join(made, "group", "left").select(
+            "group", "start", *[F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "inverse", "det")], better.alias("falls")
         )
-        made = moments.mapInArrow(_inverted(correction), "group string, centre array<double>, inverse array<double>")
-        current = settled(made, f"step{step}")
-    return current
+        best = settled(best, f"step{n}")
+    return best.drop("falls")
 
 
 def pooled(rows: DataFrame, levels: int, least_rows: int = LEAST_ROWS, **how) -> DataFrame:
     """``rows`` (group, up1, …, x0, x1, …) to one row per group: group, centre, inverse.
     ``up1`` and so on name what a group too small for an estimate is pooled in, one
-    after the other; the last is taken whatever its size. Only what has such groups is pooled."""
-    fitted = estimates(rows, least_rows=least_rows, **how)
-    ups = [f"up{n}" for n in range(1, levels)]
-    left = settled(rows.select("group", *ups).distinct().join(fitted, "group", "left_anti"), "small")
-    for n, up in enumerate(ups, 1):
-        wider = rows.join(left.select(up).distinct(), up, "left_semi").drop("group").withColumnRenamed(up, "group")
-        wide = estimates(wider, least_rows=least_rows if n < levels - 1 else 1, **how).withColumnRenamed("group", up)
-        fitted = fitted.unionByName(left.join(wide, up).select("group", "centre", "inverse"))
-        left = left.join(wide, up, "left_anti")
-    return settled(fitted, "fitted")
+    after the other; the last is taken whatever its size. All are estimated together."""
+    ups = ["group", *[f"up{n}" for n in range(1, levels)]]
+    named = [F.concat(F.lit(f"{n}:"), F.col(c)) for n, c in enumerate(ups)]
+    groups = settled(rows.groupBy(*ups).agg(F.count(F.lit(1)).alias("n0")), "groups")
+    for n in range(1, levels - 1):
+        groups = groups.join(groups.groupBy(ups[n]).agg(F.sum("n0").alias(f"n{n}")), ups[n])
+    large = [F.when(F.col(f"n{n}") >= least_rows, named[n]) for n in range(levels - 1)]
+    taken = settled(groups.select("group", F.coalesce(*large, named[-1]).alias("key")), "taken")
+    x = [f"x{i}" for i in range(P)]
+    every = rows.select(F.explode(F.array(*named)).alias("key"), *x).join(taken.select("key").distinct(), "key", "left_semi")
+    every = settled(every.withColumnRenamed("key", "group"), "rows")
+    fitted = estimates(every, **how).withColumnRenamed("group", "key")
+    return settled(taken.join(fitted, "key").select("group", "centre", "inverse"), "fitted")
 
 
 def _grouped(group_cols: tuple[str, ...], stats: Column) -> list[Column]:
