@@ -21,23 +21,46 @@ def marked_stretches(events: DataFrame) -> DataFrame:
     ``events``: session, ts, event_id, admitted, marked. An event not admitted
     starts the count again; a mark ends a stretch where the last such event was
     a mark too. Gives answered, met, intervals, carried.
+
+    A chunk of a session's log is folded into one summary: what it closes inside,
+    where its first and last restart stand and what they are. Summaries are merged
+    along the session, so the events are shuffled once, by session and chunk.
     """
-    reset = ~F.col("admitted") | F.col("marked")
-    placed = running(events, ["session"], [_minute("ts")], ["ts", "event_id"], {"__n": Measure("count")})
-    last = F.when(reset, F.struct(F.col("__n").alias("n"), F.col("marked").alias("marked")))
-    told = running(
-        placed, ["session"], [_minute("ts")], ["ts", "event_id"], {"__last": Measure("max", last, inclusive=False)}
-    )
-    ended = F.col("admitted") & F.col("marked") & F.coalesce(F.col("__last.marked"), F.lit(False))
-    carried = F.col("__n") - F.col("__last.n") - 1
-    return told.groupBy("session").agg(
-        F.count(F.lit(1)).alias("answered"),
+    part = ["session", "__chunk"]
+    inside = Window.partitionBy(*part).orderBy("ts", "event_id")
+    restart = ~F.col("admitted") | F.col("marked")
+    closes = F.col("admitted") & F.col("marked")
+    placed = events.withColumn("__chunk", _minute("ts")).withColumn("__n", F.row_number().over(inside).cast("long"))
+    here = F.when(restart, F.struct(F.col("__n").alias("n"), F.col("marked").alias("marked"), closes.alias("closes")))
+    placed = placed.withColumn("__here", here)
+    last = F.last("__here", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    told = placed.withColumn("__last", last)
+    ended = closes & F.coalesce(F.col("__last.marked"), F.lit(False))
+    chunks = told.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("n"),
         F.count_if("marked").alias("met"),
         F.count_if(ended).alias("intervals"),
-        F.coalesce(F.sum(F.when(ended, carried)), F.lit(0)).alias("carried"),
+        F.coalesce(F.sum(F.when(ended, F.col("__n") - F.col("__last.n") - 1)), F.lit(0)).alias("carried"),
+        F.min("__here").alias("first"),
+        F.max("__here").alias("last"),
         F.min("ts").alias("began"),
         F.max("ts").alias("ended"),
     )
+    earlier = Window.partitionBy("session").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    merged = chunks.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    open_ = F.when(F.col("last").isNotNull(), F.struct((F.col("__before") + F.col("last.n")).alias("n"), F.col("last.marked").alias("marked")))
+    merged = merged.withColumn("__open", open_).withColumn("__open", F.last("__open", ignorenulls=True).over(earlier))
+    # A chunk's first restart may close what an earlier chunk left open.
+    joins = F.coalesce(F.col("first.closes") & F.col("__open.marked"), F.lit(False))
+    across = F.col("__before") + F.col("first.n") - F.col("__open.n") - 1
+    return merged.groupBy("session").agg(
+        F.sum("n").alias("answered"),
+        F.sum("met").alias("met"),
+        (F.sum("intervals") + F.count_if(joins)).alias("intervals"),
+        (F.sum("carried") + F.coalesce(F.sum(F.when(joins, across)), F.lit(0))).alias("carried"),
+        F.min("began").alias("began"),
+        F.max("ended").alias("ended"),
+    )
 
 
 def rhythm_of(stretches: DataFrame, keys: list[str]) -> DataFrame:
