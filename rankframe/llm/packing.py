@@ -53,8 +53,8 @@ class _Words(WordTable):
         return self.keep(word, packed, len(packed))
 
     def __missing__(self, word: str) -> bytes:
-        if (known := self.recalled(word, len)) is not None:
-            return known
+        if (known := self.older.get(word)) is not None:
+            return self._keep(word, known)
         core = word.rstrip(_MARKS)
         if core != word and core.isalpha() and _latin(word):
             return self._keep(word, self[core] + self[word[len(core) :]])
@@ -64,9 +64,8 @@ class _Words(WordTable):
     def learn(self, words: set[str]) -> None:
         """Encode what is unknown, many plain words in one call: each ends with a
         token that only ends words."""
-        fresh = (w for w in words.difference(self) if self.recalled(w, len) is None)
-        cores = {w.rstrip(_MARKS) for w in fresh}
-        plain = [w for w in cores.difference(self) if w.isalpha() and len(w) <= 64 and _latin(w) and self.recalled(w, len) is None]
+        cores = {w.rstrip(_MARKS) for w in words.difference(self, self.older)}
+        plain = [w for w in cores.difference(self, self.older) if w.isalpha() and len(w) <= 64 and _latin(w)]
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids

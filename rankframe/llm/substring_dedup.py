@@ -72,8 +72,8 @@ class _Known(WordTable):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if (known := self.recalled(word)) is not None:
-            return known
+        if (known := self.older.get(word)) is not None:
+            return self.keep(word, known)
         plain = _plain(word)
         value = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) & ~15
         value |= _ENDS.get(word.rstrip("\"'»”’)]」』）】》〉］")[-1:], 0)
@@ -81,7 +81,7 @@ class _Known(WordTable):
         return self.keep(word, value)
 
 
-_KNOWN = _Known(64 << 20)
+_KNOWN = _Known(96 << 20)
 
 
 def _words_by(text: str) -> re.Pattern:

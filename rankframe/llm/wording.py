@@ -11,13 +11,13 @@ import xxhash
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 # What a table of words may take, and what an entry takes beside its word.
-ROOM, ENTRY = 32 << 20, 180
+ROOM, ENTRY = 64 << 20, 180
 
 
 class WordTable(dict):
     """Values of words, worked out once, in two halves of ``room`` bytes together:
-    when the newer half is full it becomes the older one, whose words come back
-    as they are met. Words of over 64 characters are not kept."""
+    when the newer half is full it becomes the older one, from which a word is to
+    be taken back as it is met. Words of over 64 characters are not kept."""
 
     def __init__(self, room: int = ROOM):
         self.room, self.held, self.older = room, 0, {}
@@ -32,11 +32,6 @@ class WordTable(dict):
             self[word] = value
         return value
 
-    def recalled(self, word, size: Callable = lambda value: 0):
-        """The value of a word of the older half, which moves to the newer one; None for a new word."""
-        value = self.older.get(word)
-        return None if value is None else self.keep(word, value, size(value))
-
     def forget(self) -> None:
         self.clear()
         self.held, self.older = 0, {}
@@ -44,9 +39,8 @@ class WordTable(dict):
 
 class _Hashes(WordTable):
     def __missing__(self, word: str) -> int:
-        if (known := self.recalled(word)) is not None:
-            return known
-        return self.keep(word, xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
+        value = self.older.get(word)
+        return self.keep(word, xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) if value is None else value)
 
 
 _HASHES = _Hashes()
