@@ -22,19 +22,14 @@ from rankframe.functions.urls import (
     url_host,
 )
 from rankframe.operators.record import POSITIONS_PER_CHUNK, QUERY, ROW
-from rankframe.operators.running import Measure, firsts, numbered, running
+from rankframe.operators.running import Measure, firsts, running
 
 SAMPLE = 3  # titles a verdict shows unless asked for more
 RESULTS_PER_PAGE = 10
 
 
-def walk_extent(pages: DataFrame) -> DataFrame:
-    """The pages a walk from page 1 takes: (keys, page, n_results, max_offset,
-    has_pagination) up to where it stops.
-
-    It stops before a page without results, after a page whose bar reaches no
-    further, and where the capture has a gap.
-    """
+def _walked(pages: DataFrame, **more: Measure) -> DataFrame:
+    """Pages with ``__whole``, whether the walk takes them, and further running figures."""
     empty = F.col("n_results") == 0
     last = F.col("has_pagination") & (F.col("max_offset") <= (F.col("page") - 1) * RESULTS_PER_PAGE)
     walked = running(
@@ -42,10 +37,20 @@ def walk_extent(pages: DataFrame) -> DataFrame:
         QUERY,
         [F.floor(F.col("page") / POSITIONS_PER_CHUNK)],
         ["page"],
-        {"__at": Measure("count"), "__ended": Measure("count", F.when(empty | last, 1), inclusive=False)},
+        {"__at": Measure("count"), "__ended": Measure("count", F.when(empty | last, 1), inclusive=False), **more},
     )
     whole = (F.col("__at") == F.col("page")) & (F.col("__ended") == 0) & ~empty
-    return walked.where(whole).select(*pages.columns)
+    return walked.withColumn("__whole", whole)
+
+
+def walk_extent(pages: DataFrame) -> DataFrame:
+    """The pages a walk from page 1 takes: (keys, page, n_results, max_offset,
+    has_pagination) up to where it stops.
+
+    It stops before a page without results, after a page whose bar reaches no
+    further, and where the capture has a gap.
+    """
+    return _walked(pages).where("__whole").select(*pages.columns)
 
 
 def _asked(sites: DataFrame) -> DataFrame:
@@ -84,16 +89,28 @@ def find_positions(queries: DataFrame, results: DataFrame, sites: DataFrame, pag
     only the pages a walk takes; without it every page of ``results`` was read.
     ``sites`` is (job_id, site). A site not found answers rank 0.
     """
-    if pages is not None:
-        results = results.join(walk_extent(pages).select(*ROW[:-1]), ROW[:-1], "left_semi")
-    lines = results.select(*ROW, "url", "host")
-    counted = numbered(lines, QUERY, [F.floor(F.col("page") / POSITIONS_PER_CHUNK)], ["page", "position"], "rank")
+    page_key, lines = [*QUERY, "page"], results.select(*ROW, "url", "host")
+    # A row's place on its page, and the rows of the pages before it, make its rank.
+    inside = Window.partitionBy(*page_key).orderBy("position")
+    placed = lines.withColumn("__place", F.row_number().over(inside))
+    held = placed.groupBy(*page_key).agg(F.count(F.lit(1)).alias("__rows"))
+    before = {"__before": Measure("sum", F.col("__rows"), inclusive=False)}
+    if pages is None:
+        walk = running(held, QUERY, [F.floor(F.col("page") / POSITIONS_PER_CHUNK)], ["page"], before)
+    else:
+        # The end of the walk is found in the pass that adds up the pages.
+        shown = pages.select(*page_key, "n_results", "max_offset", "has_pagination").join(held, page_key, "left")
+        walk = _walked(shown, **before).where(F.col("__whole") & F.col("__rows").isNotNull())
+    walk = walk.select(*page_key, "__rows", F.coalesce("__before", F.lit(0)).alias("__before"))
     asked = _asked(sites)
-    matched = _offers(counted, *QUERY, "page", "rank").join(asked, ["job_id", "__how", "__wanted"])
-    found = matched.groupBy(*QUERY, "site").agg(
-        F.min("rank").alias("rank"), F.min_by("page", "rank").alias("page"), F.min_by("__how", "rank").alias("how")
+    matched = _offers(placed, *page_key, "__place").join(asked, ["job_id", "__how", "__wanted"])
+    # The pages are folded into one row per query, which holds its first match of each site.
+    first = matched.groupBy(*page_key, "site").agg(F.min(F.struct("__place", "__how")).alias("__hit"))
+    found = first.join(walk, page_key).groupBy(*QUERY, "site").agg(
+        F.min(F.struct((F.col("__before") + F.col("__hit.__place")).alias("rank"), "page", F.col("__hit.__how").alias("how"))).alias("__f")
     )
-    read = lines.groupBy(*QUERY).agg(F.count(F.lit(1)).alias("__read"))
+    found = found.select(*QUERY, "site", "__f.*")
+    read = walk.groupBy(*QUERY).agg(F.sum("__rows").alias("__read"))
     rows = queries.select(*QUERY, F.col("text").alias("query")).join(asked.select("job_id", "site"), "job_id")
     hit = F.col("rank").isNotNull()
     return (
