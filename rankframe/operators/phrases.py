@@ -5,6 +5,8 @@ pieces of a phrase are found by joining its substrings with the table, and only
 the choice of the best cut, a few lines over one phrase, runs in Python.
 """
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +21,21 @@ SPACE_MARK = "▁"
 _PUNCTUATION = r"([!-/:-@\[-`{-~])"
 
 
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def composed(c: Column | str) -> Column:
+    """A text in compatibility composition (half-width forms, ligatures, letters
+    with their accents apart). Texts of ASCII alone are not handed to Python."""
+    c = _col(c)
+    return F.coalesce(_composed(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+
+
 def normalise_phrase(c: Column | str) -> Column:
-    """A phrase as the pieces are written: marks spaced, blanks as ▁, one in front."""
-    spaced = F.regexp_replace(F.regexp_replace(_col(c), " {2,}", " "), _PUNCTUATION, " $1 ")
+    """A phrase as the pieces are written: composed, marks spaced, blanks as ▁, one in front."""
+    spaced = F.regexp_replace(F.regexp_replace(composed(c), " {2,}", " "), _PUNCTUATION, " $1 ")
     flat = F.btrim(F.regexp_replace(spaced, SPACE_RUN, " "), F.lit(SPACES))
     return F.when(flat != "", F.concat(F.lit(SPACE_MARK), F.replace(flat, F.lit(" "), F.lit(SPACE_MARK)))).otherwise("")
 
@@ -69,9 +83,10 @@ def tokenise_phrases(phrases: DataFrame, vocab: DataFrame, unknown_id: int) -> D
     bounds = pieces.agg(
         F.max(F.char_length("piece")).alias("longest"), (F.min("score") - UNKNOWN_PENALTY).alias("unknown_score")
     )
-    longest, unknown_score = bounds.select("longest").scalar(), bounds.select("unknown_score").scalar()
+    # One row: how far a piece reaches, and what an unknown character costs.
+    longest, unknown_score = bounds.first()
     once = phrases.select("phrase").distinct().withColumn("text", normalise_phrase("phrase"))
-    once = once.withColumns({"n": F.char_length("text"), "longest": longest, "key": F.md5("phrase")})
+    once = once.withColumns({"n": F.char_length("text"), "longest": F.lit(longest or 0), "key": F.md5("phrase")})
     starts = once.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     spans = starts.select(
         "key", "start", F.substring(F.col("text"), F.col("start") + 1, F.col("longest")).alias("rest"),
@@ -85,7 +100,7 @@ def tokenise_phrases(phrases: DataFrame, vocab: DataFrame, unknown_id: int) -> D
         F.coalesce(F.col("edges").cast("array<struct<start:int,length:int,score:double,id:bigint>>"), none).alias("edges"),
         "n",
         F.lit(unknown_id).alias("u"),
-        F.coalesce(unknown_score, F.lit(-UNKNOWN_PENALTY)).alias("s"),
+        F.lit(-UNKNOWN_PENALTY if unknown_score is None else unknown_score).alias("s"),
     )
     return ready.select("phrase", _cut("edges", "n", "u", "s").alias("tokens"))
 
@@ -93,15 +108,15 @@ def tokenise_phrases(phrases: DataFrame, vocab: DataFrame, unknown_id: int) -> D
 def embed_phrases(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """(phrase, vector): the direction of the sum of the pieces' vectors.
 
-    A phrase's vectors are summed in one place; a phrase without pieces gets the
-    nought vector.
+    Each dimension is a sum of its own, taken in part before the shuffle, so a
+    phrase of any length is one row from each task; a phrase without pieces gets
+    the nought vector.
     """
+    # One number: how many sums there are.
+    dims = vocab.agg(F.max(F.size("q"))).first()[0] or 0
     rows = vocab.select("id", dequantised("scale", "q").alias("row"))
-    dims = vocab.agg(F.max(F.size("q")).alias("d")).scalar()
-    flat = tokens.select("phrase", F.explode("tokens").alias("id")).join(rows, "id")
-    zero = F.array_repeat(F.lit(0.0), F.col("d"))
-    gathered = flat.groupBy("phrase").agg(F.collect_list("row").alias("rows"))
-    every = tokens.select("phrase", dims.alias("d")).join(gathered, "phrase", "left")
-    rows_or_none = F.coalesce("rows", F.array().cast("array<array<double>>"))
-    total = F.aggregate(rows_or_none, zero, lambda acc, row: F.zip_with(acc, row, lambda x, y: x + y))
+    counted = tokens.select("phrase", F.explode("tokens").alias("id")).groupBy("phrase", "id").agg(F.count(F.lit(1)).alias("n"))
+    sums = counted.join(rows, "id").groupBy("phrase").agg(*[F.sum(F.get("row", F.lit(i)) * F.col("n")).alias(f"d{i}") for i in range(dims)])
+    every = tokens.select("phrase").join(sums, "phrase", "left")
+    total = F.array(*[F.coalesce(f"d{i}", F.lit(0.0)) for i in range(dims)]).cast("array<double>")
     return every.select("phrase", unit(total).alias("vector"))

@@ -106,6 +106,11 @@ def test_normalised_phrases(spark):
     rows = spark.createDataFrame([("Coffee,  maker/x ",), ("  ",), ("a\t\nb",)], "c string")
     got = [r.x for r in rows.select(P.normalise_phrase("c").alias("x")).collect()]
     assert got == ["▁Coffee▁,▁maker▁/▁x", "", "▁a▁b"]
+    # Half-width and full-width forms, ligatures, accents apart, an odd blank, a sign that stands for a word.
+    odd = ["ｶﾞｲﾄﾞ", "ＡＢＣ　１，２", "ﬁne eﬀort", "cafe\u0301", "a\u00a0b", "№ 5", None]
+    rows = spark.createDataFrame([(t,) for t in odd], "c string")
+    got = [r.x for r in rows.select(P.normalise_phrase("c").alias("x")).collect()]
+    assert got[:6] == ["▁ガイド", "▁ABC▁1▁,▁2", "▁fine▁effort", "▁café", "▁a▁b", "▁No▁5"]
 
 
 def test_embedding(spark):
