@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rankframe.functions.urls import absolute_link, displayed_link, search_domain, search_url
 from rankframe.operators.running import firsts
 
-PREVIEW_RECORDS = 10
+PREVIEW_RECORDS, PREVIEW_AMONG = 10, 100
 CSV, TXT, JSONL = "csv", "txt", "jsonl"
 FORMATS = (CSV, TXT, JSONL)
 LF, CRLF = "\n", "\r\n"
@@ -133,9 +133,18 @@ def distinct_layout(rows: DataFrame, layout: Layout, order: Sequence[str]) -> Da
 
 
 def preview(rows: DataFrame, layout: Layout, order: Sequence[str]) -> DataFrame:
-    """The first ten records of the file."""
-    read = distinct_layout(rows, layout, order) if layout.unique else rows
-    return read.orderBy(*order).limit(PREVIEW_RECORDS)
+    """The first ten records of the file. Where repeats are left out they are
+    looked for among the first rows only, and among more of them until ten
+    records are found or the rows end: the table itself is never grouped."""
+    if not layout.unique:
+        return rows.orderBy(*order).limit(PREVIEW_RECORDS)
+    among = PREVIEW_AMONG
+    while True:
+        first = rows.orderBy(*order).limit(among)
+        kept = distinct_layout(first, layout, order).orderBy(*order).limit(PREVIEW_RECORDS)
+        if kept.count() == PREVIEW_RECORDS or first.count() < among:
+            return kept
+        among *= PREVIEW_AMONG
 
 
 def number_text(c: Column) -> Column:

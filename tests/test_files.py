@@ -135,3 +135,43 @@ def test_plan_and_history(spark, tmp_path):
     assert {r.job_id: r["count"] for r in again} == {7: 9, 8: 2}
     with pytest.raises(ValueError):
         writers.load_plan(spark.createDataFrame([], "ordinal long, text string"), [], job_row(spark, 9), 9, root)
+
+
+def test_a_load_that_failed_is_done_again(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/history"
+
+    def load(texts, batch):
+        listed = spark.createDataFrame(list(enumerate(texts)), "ordinal long, text string")
+        writers.load_plan(listed, ["{query}"], job_row(spark, 7), 7, root, batch)
+
+    def held():
+        rows = spark.read.schema(TABLES["queries"]).parquet(f"{root}/queries").where("job_id = 7")
+        return [(r.ordinal, r.text) for r in rows.orderBy("ordinal").collect()]
+
+    real = spark.createDataFrame
+
+    def failing(data, schema=None, **more):
+        if schema == writers.PLANS and data:
+            raise RuntimeError("lost between the two writes")
+        return real(data, schema, **more)
+
+    for texts, batch, before in ((["a", "b"], "one", []), (["c"], "two", [(0, "a"), (1, "b")])):
+        with monkeypatch.context() as m:
+            m.setattr(type(spark), "createDataFrame", lambda self, *a, **k: failing(*a, **k))
+            listed = real(list(enumerate(texts)), "ordinal long, text string")
+            with pytest.raises(RuntimeError):
+                writers.load_plan(listed, ["{query}"], job_row(spark, 7), 7, root, batch)
+        assert len(held()) == len(before) + len(texts)  # left behind, and not counted
+        load(texts, batch)
+        load(texts, batch)  # in the ledger: not loaded twice
+        assert held() == before + [(len(before) + i, t) for i, t in enumerate(texts)]
+    load(["d"], None)
+    assert held()[-1] == (3, "d")
+
+
+def test_preview_looks_further_until_it_has_ten(spark):
+    rows = spark.range(5000).selectExpr("id AS ordinal", "id AS rank", "concat('h', CASE WHEN id < 900 THEN id % 3 ELSE id % 7 END) AS host")
+    few = Y.preview(rows, Y.Layout("results", ("host",), unique=True), ["ordinal", "rank"]).collect()
+    assert [r.host for r in few] == ["h0", "h1", "h2", "h4", "h5", "h6", "h3"]  # all there are
+    more = rows.withColumn("host", F.expr("concat('h', CASE WHEN ordinal < 900 THEN ordinal % 3 ELSE ordinal END)"))
+    assert [r.ordinal for r in Y.preview(more, Y.Layout("results", ("host",), unique=True), ["ordinal", "rank"]).collect()] == [0, 1, 2, *range(900, 907)]
