@@ -8,6 +8,7 @@ however broken it is.
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Elements whose content is text up to their own end tag.
@@ -20,6 +21,8 @@ ENDS_PARAGRAPH = frozenset(
 # These end where another of the same kind starts.
 ENDS_ITSELF = frozenset("li dt dd option tr td th".split())
 START, END, TEXT = "start", "end", "text"
+# Tags remembered, and how long one of them may be.
+KNOWN_TAGS, SHORT_TAG = 8192, 120
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s=>/][^\s=>/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
@@ -30,14 +33,22 @@ def plain(text: str) -> str:
     return entities.unescape(text) if "&" in text else text
 
 
-def attributes(raw: str) -> dict[str, str]:
-    """The attributes of a start tag; the first of a name counts."""
+def _attributes(raw: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, double, single, bare in _ATTRIBUTE.findall(raw):
         found.setdefault(name.lower(), plain(double or single or bare))
     return found
 
 
+_known = lru_cache(maxsize=KNOWN_TAGS)(_attributes)
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """The attributes of a start tag; the first of a name counts. Pages say the
+    same short tags over and over, so those are read once; not to be changed."""
+    return _known(raw) if len(raw) <= SHORT_TAG else _attributes(raw)
+
+
 def _tag_end(page: str, at: int) -> tuple[int, str]:
     """Where the tag whose name ends at ``at`` ends, and its attributes as written."""
     close = page.find(">", at)
