@@ -1,10 +1,12 @@
 """Pages written for the shapes a result page comes in."""
 
+import gc
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from rankframe.functions.html_scan import scan
 from rankframe.functions.page_tree import read_page
 from rankframe.operators import pages as P
 
@@ -132,3 +134,25 @@ def test_drift(spark):
     serps = P.extract_serps(spark.createDataFrame(rows, CAPTURE)).withColumn("g", F.lit("all"))
     got = P.extraction_drift(serps, ["g"]).first()
     assert (got.pages, got.serps, got.without_results, got.untitled, got.gaps, got.own_hosts) == (3, 2, 1, 0, 0, 0)
+
+
+def test_a_page_read_leaves_nothing_to_collect():
+    """Elements that point at each other would wait for the collector, page after page."""
+    page = '<html><body><div id="rso">' + result(1, "https://a.com/") * 30 + "</div></body></html>"
+    assert len(read_page(page)["links"]) == 30
+    gc.collect()
+    gc.disable()
+    try:
+        read_page(page)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+def test_tags_written_oddly_are_read_as_written():
+    page = "a<b c=\"d>e\" f>g<h i = 'j>'><k =\"l>m\">n<o p=q><r\"s>< t <!-- <u> --><v/><w\tx=\"y\"z='>'></W >"
+    assert list(scan(page)) == [
+        ("text", "a", ""), ("start", "b", ' c="d>e" f'), ("text", "g", ""), ("start", "h", " i = 'j>'"), ("start", "k", ' ="l'),
+        ("text", 'm">n', ""), ("start", "o", " p=q"), ("start", 'r"s', ""), ("text", "< t ", ""), ("start", "v", "/"),
+        ("start", "w", "\tx=\"y\"z='>'"), ("end", "w", ""),
+    ]
