@@ -28,7 +28,7 @@ SAMPLE = 3  # titles a verdict shows unless asked for more
 RESULTS_PER_PAGE = 10
 
 
-def _walked(pages: DataFrame, **more: Measure) -> DataFrame:
+def _walked(pages: DataFrame, captures: DataFrame | None = None, **more: Measure) -> DataFrame:
     """Pages with ``__whole``, whether the walk takes them, and further running figures."""
     empty = F.col("n_results") == 0
     last = F.col("has_pagination") & (F.col("max_offset") <= (F.col("page") - 1) * RESULTS_PER_PAGE)
@@ -38,19 +38,21 @@ def _walked(pages: DataFrame, **more: Measure) -> DataFrame:
         [F.floor(F.col("page") / POSITIONS_PER_CHUNK)],
         ["page"],
         {"__at": Measure("count"), "__ended": Measure("count", F.when(empty | last, 1), inclusive=False), **more},
+        counted=captures,
     )
     whole = (F.col("__at") == F.col("page")) & (F.col("__ended") == 0) & ~empty
     return walked.withColumn("__whole", whole)
 
 
-def walk_extent(pages: DataFrame) -> DataFrame:
+def walk_extent(pages: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     """The pages a walk from page 1 takes: (keys, page, n_results, max_offset,
     has_pagination) up to where it stops.
 
     It stops before a page without results, after a page whose bar reaches no
-    further, and where the capture has a gap.
+    further, and where the capture has a gap. ``captures`` are what the pages were
+    read from, one row each: they are counted in place of the pages, which are then read once.
     """
-    return _walked(pages).where("__whole").select(*pages.columns)
+    return _walked(pages, captures).where("__whole").select(*pages.columns)
 
 
 def _asked(sites: DataFrame) -> DataFrame:
