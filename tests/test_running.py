@@ -1,10 +1,15 @@
 """Running figures come out alike for groups that fit in a task and for larger ones."""
 
+import pathlib
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from rankframe.operators import running as N
 from rankframe.operators.record import cumulative_rank
+from rankframe.plans import views
+from rankframe.session import SETTINGS
 
 ROWS = [(j, o, p, s) for j in (1, 2, None) for o in (1, 2, None) for p in (1, 2, 4, None) for s in (1, 3, 1030, None)]
 
@@ -42,3 +47,16 @@ def test_small_groups_are_shuffled_once(spark):
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
     # The rows by their query, and the count of each query's rows.
     assert len(dealt) <= 2, plan
+
+
+def test_parts_are_small_enough_to_sort_in_memory(spark, tmp_path, monkeypatch):
+    """Rows as recorded are read, and dealt out, in parts of 16 MB, row groups no larger."""
+    for name in ("files.maxPartitionBytes", "adaptive.advisoryPartitionSizeInBytes"):
+        assert SETTINGS[f"spark.sql.{name}"] == "16m"
+    monkeypatch.setattr(views, "GROUP_BYTES", 64 * 1024)
+    tables = views.Tables(spark, str(tmp_path))
+    rows = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("s")).coalesce(1)
+    tables._recorded("hashes", rows).count()
+    held = views._RECORDED[(spark.sparkContext.applicationId, str(tmp_path), "hashes")]
+    files = [pq.ParquetFile(f) for f in pathlib.Path(held).glob("*.parquet")]
+    assert sum(f.num_row_groups for f in files) > 10
