@@ -20,6 +20,8 @@ MOST = (1 << 63) - 1  # queries are numbered with 64 bits
 ROWS_PER_CHUNK = 65536
 BLOCK = 1024
 CHUNKS_TOGETHER = 4096
+# Queries that one task makes and reduces, and tasks they are dealt over at most.
+ROWS_PER_TASK, MOST_TASKS = 1 << 19, 1 << 16
 DEFAULT_FORMAT = "{query}"
 
 
@@ -167,7 +169,9 @@ def expand_queries(queries: DataFrame, formats: Sequence[str]) -> DataFrame:
     """(ordinal, query) of everything the formats make of (ordinal, text).
 
     Repeats are kept once over the whole job, the first made winning: reduced
-    by aggregation on the text made, so copies never gather in one task.
+    by aggregation on the text made, so copies never gather in one task. The list
+    is counted first: a few bytes of it come to very many queries, so the making is
+    dealt over tasks by what is made, not by what is read.
     """
     read = parse_formats(formats)
     counts = F.array(*[F.lit(f.count) for f in read])
@@ -176,9 +180,10 @@ def expand_queries(queries: DataFrame, formats: Sequence[str]) -> DataFrame:
     blocks = asked.select(
         "ordinal", "text", "__f", "__count", F.explode(F.sequence(F.lit(0), F.floor((F.col("__count") - 1) / BLOCK))).alias("__b")
     )
-    if max(f.count for f in read) > BLOCK:
-        # One query may make a million: its blocks go to different tasks.
-        blocks = blocks.repartition("ordinal", "__f", "__b")
+    # One query may make a million: its blocks go to different tasks.
+    tasks = min(MOST_TASKS, -(-queries.count() * per_query // ROWS_PER_TASK))
+    if tasks > 1:
+        blocks = blocks.repartition(tasks, "ordinal", "__f", "__b")
     last = F.least((F.col("__b") + 1) * BLOCK, F.col("__count")) - 1
     numbers = blocks.select("ordinal", "text", "__f", F.explode(F.sequence(F.col("__b") * BLOCK, last)).alias("__k"))
     made = None

@@ -49,3 +49,12 @@ def test_more_than_a_million_of_each_query(spark):
     rows = spark.createDataFrame([(0, "k")], "ordinal long, text string")
     got = expand_queries(rows, ["{query} {num:1:1200000}"])
     assert got.count() == 1_200_000 and got.where("ordinal = 1199999").first().query == "k 1200000"
+
+
+def test_what_a_short_list_makes_is_dealt_over_tasks(spark, monkeypatch):
+    """Ten lines in one task make 1000 queries: no task makes them all."""
+    monkeypatch.setattr("rankframe.operators.expand.ROWS_PER_TASK", 100, raising=False)
+    rows = spark.range(0, 10, 1, 1).selectExpr("id AS ordinal", "concat('q', id) AS text")
+    got = expand_queries(rows, ["{query} {num:1:100}"])
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.query for r in got.orderBy("ordinal").collect()] == [f"q{i} {n}" for i in range(10) for n in range(1, 101)]
