@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankframe.functions.urls import SPACE_RUN, SPACES, _col
+from rankframe.functions.urls import SPACE_RUN, SPACES, _col, let
 from rankframe.functions.vectors import dequantised, unit
 
 UNKNOWN_PENALTY = 10.0
@@ -37,7 +37,8 @@ def normalise_phrase(c: Column | str) -> Column:
     """A phrase as the pieces are written: composed, marks spaced, blanks as ▁, one in front."""
     spaced = F.regexp_replace(F.regexp_replace(composed(c), " {2,}", " "), _PUNCTUATION, " $1 ")
     flat = F.btrim(F.regexp_replace(spaced, SPACE_RUN, " "), F.lit(SPACES))
-    return F.when(flat != "", F.concat(F.lit(SPACE_MARK), F.replace(flat, F.lit(" "), F.lit(SPACE_MARK)))).otherwise("")
+    marked = let(flat, lambda f: F.when(f != "", F.concat(F.lit(SPACE_MARK), F.replace(f, F.lit(" "), F.lit(SPACE_MARK)))))
+    return F.coalesce(marked, F.lit(""))
 
 
 def _best_cut(edges: list, length: int, unknown_id: int, unknown_score: float) -> list[int]:

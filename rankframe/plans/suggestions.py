@@ -420,22 +420,26 @@ def unscored_phrases(t: Tables) -> DataFrame:
 def _vocabulary(t: Tables) -> DataFrame:
     """Pieces of the documents: their words and their single letters, scored by
     how common they are, with a small vector made from each piece's hash."""
-    marked = P.normalise_phrase("text")
-    words = t.documents.select(F.explode(F.split(F.substring(marked, F.lit(2), F.length(marked)), "▁")).alias("w"))
-    whole = words.select(F.concat(F.lit("▁"), "w").alias("piece"))
-    letters = words.select(F.explode(F.split(F.concat(F.lit("▁"), "w"), "")).alias("piece"))
-    counted = whole.unionByName(letters).where("piece != ''").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    marked = t.documents.select(P.normalise_phrase("text").alias("marked"))
+    words = marked.select(F.explode(F.split(F.expr("substring(marked, 2)"), "▁")).alias("w"))
+    # Letters are taken of each distinct word, not of every place where it stands.
+    words = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.concat(F.lit("▁"), "w")
+    pieces = words.select("n", F.explode(F.concat(F.array(whole), F.split(whole, ""))).alias("piece"))
+    counted = pieces.where("piece != ''").groupBy("piece").agg(F.sum("n").alias("n"))
 
     def component(i: int) -> Column:
         return (F.pmod(F.xxhash64("piece", F.lit(i)), F.lit(255)) - 127).cast("tinyint")
 
-    return counted.select(
+    made = counted.select(
         "piece",
         F.xxhash64("piece").alias("id"),
         F.ln(F.col("n") / F.lit(1e9)).alias("score"),
         F.lit(0.01).alias("scale"),
         F.array(*[component(i) for i in range(8)]).alias("q"),
     )
+    # A vocabulary is stored: its readers do not go through the documents again.
+    return t.recorded("vocabulary", made)
 
 
 @query("tokenise_phrases")

@@ -118,6 +118,10 @@ class Tables:
             _RECORDED[at] = path
         return self.spark.read.schema(rows.schema).parquet(_RECORDED[at])
 
+    def recorded(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows written once per session, and read from there by whoever asks."""
+        return self._recorded(name, rows)
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 

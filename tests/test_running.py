@@ -1,6 +1,8 @@
 """Running figures come out alike for groups that fit in a task and for larger ones."""
 
+import math
 import pathlib
+from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from rankframe.operators import running as N
 from rankframe.operators.record import cumulative_rank
 from rankframe.plans import views
+from rankframe.plans.suggestions import _vocabulary
 from rankframe.session import SETTINGS
 
 ROWS = [(j, o, p, s) for j in (1, 2, None) for o in (1, 2, None) for p in (1, 2, 4, None) for s in (1, 3, 1030, None)]
@@ -60,3 +63,16 @@ def test_parts_are_small_enough_to_sort_in_memory(spark, tmp_path, monkeypatch):
     held = views._RECORDED[(spark.sparkContext.applicationId, str(tmp_path), "hashes")]
     files = [pq.ParquetFile(f) for f in pathlib.Path(held).glob("*.parquet")]
     assert sum(f.num_row_groups for f in files) > 10
+
+
+def test_a_vocabulary_is_counted_once_and_stored(spark, tmp_path):
+    texts = ["ab ab a", "b, é", "", None, "ab"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vocabulary = _vocabulary(views.Tables(spark, str(tmp_path)))
+    # Every word with its mark, and every letter and mark of every word; a blank text is one mark twice.
+    words = ["ab", "ab", "a", "b", ",", "é", "", "", "ab"]
+    want = Counter(p for w in words for p in (f"▁{w}", *f"▁{w}"))
+    got = {r.piece: round(math.exp(r.score) * 1e9) for r in vocabulary.collect()}
+    assert got == dict(want)
+    assert all("/vocabulary/" in file for file in vocabulary.inputFiles())
