@@ -19,10 +19,16 @@ def unit(c: Column | str) -> Column:
     return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
 
 
-def closeness(a: Column | str, b: Column | str) -> Column:
-    """The cosine of two vectors; a nought vector is close to nothing."""
+def length(c: Column | str) -> Column:
+    v = _col(c).cast("array<double>")
+    return F.sqrt(dot(v, v))
+
+
+def closeness(a: Column | str, b: Column | str, a_length: Column | str | None = None, b_length: Column | str | None = None) -> Column:
+    """The cosine of two vectors; a nought vector is close to nothing. Lengths
+    known from before, as of a vector that is in many pairs, are not worked out again."""
+    lengths = (length(a) if a_length is None else _col(a_length)) * (length(b) if b_length is None else _col(b_length))
     a, b = _col(a).cast("array<double>"), _col(b).cast("array<double>")
-    lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
 
 

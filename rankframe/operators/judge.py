@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.functions.text import related_words, significant, words
-from rankframe.functions.vectors import closeness
+from rankframe.functions.vectors import closeness, length
 from rankframe.operators.record import QUERY
 
 # Where the meaning filter starts, and the ends of its range.
@@ -29,11 +29,12 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, key: str = "key", completi
     made once whatever it is paired with. A phrase without a vector leaves its
     pair unscored.
     """
-    keys = vectors.select(F.col("phrase").alias(key), F.col("vector").alias("__a"))
-    texts = vectors.select(F.col("phrase").alias(completion), F.col("vector").alias("__b"))
+    # A vector's length is worked out once per phrase, before it meets its pairs.
+    keys = vectors.select(F.col("phrase").alias(key), F.col("vector").alias("__a"), length("vector").alias("__a_length"))
+    texts = vectors.select(F.col("phrase").alias(completion), F.col("vector").alias("__b"), length("vector").alias("__b_length"))
     both = pairs.join(keys, key, "left").join(texts, completion, "left")
     known = F.col("__a").isNotNull() & F.col("__b").isNotNull()
-    return both.select(*pairs.columns, F.when(known, closeness("__a", "__b")).alias("similarity"))
+    return both.select(*pairs.columns, F.when(known, closeness("__a", "__b", "__a_length", "__b_length")).alias("similarity"))
 
 
 def unscored_phrases(results: DataFrame, queries: DataFrame) -> DataFrame:

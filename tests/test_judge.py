@@ -164,3 +164,14 @@ def test_census(spark):
     assert (got["a"].entities, got["a"].spent_seconds, got["a"].longest_seconds) == (2, 60 + 70 + 10, 70)
     assert (got["b"].entities, got["b"].spent_seconds, got["b"].longest_seconds) == (1, 40, 40)
     assert got["a"].share == pytest.approx(140 / 180)
+
+
+def test_the_length_of_a_vector_is_worked_out_once_per_phrase(spark):
+    vectors = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [4.0, 3.0]), ("0", [0.0, 0.0]), ("n", None)], "phrase string, vector array<double>")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "a"), ("a", "0"), ("a", "n"), ("a", "x"), (None, "b")], "key string, text string")
+    scored = J.score_pairs(pairs, vectors)
+    got = {(r["key"], r["text"]): r.similarity for r in scored.collect()}
+    assert got == {("a", "b"): 0.96, ("a", "a"): 1.0, ("a", "0"): 0.0, ("a", "n"): None, ("a", "x"): None, (None, "b"): None}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    # One root beside each side's vectors, none where the pairs are compared.
+    assert plan.split("\n")[0].upper().count("SQRT") == 0 and plan.upper().count("SQRT") == 2, plan
