@@ -4,7 +4,7 @@
 suffixes, so every question is a hash join and never a product of two tables.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankframe.functions.urls import (
@@ -70,17 +70,21 @@ def _asked(sites: DataFrame) -> DataFrame:
     )
 
 
-def _offers(results: DataFrame, *kept: str) -> DataFrame:
+def _offers(results: DataFrame, asked: DataFrame, *kept: str) -> DataFrame:
     """What each result can answer to: its address, its host and every domain
-    above it."""
+    above it, each worked out only in jobs that ask for that kind."""
+    kinds = asked.groupBy("job_id").agg(
+        F.bool_or(F.col("__how") == "url").alias("__by_url"), F.bool_or(F.col("__how") == "host").alias("__by_host")
+    )
     none = F.array().cast("array<string>")
-    by_url = F.when(F.col("url") != "", F.array(canonical_url("url"))).otherwise(none)
-
-    def offers(how: str, values: Column) -> Column:
-        return F.transform(values, lambda v: F.struct(F.lit(how).alias("__how"), v.alias("__wanted")))
-
-    both = F.concat(offers("url", by_url), offers("host", host_suffixes("host")))
-    return results.select(*kept, F.inline(both))
+    by_url = F.when(F.col("__by_url") & (F.col("url") != ""), canonical_url("url"))
+    by_host = F.when(F.col("__by_host"), host_suffixes("host")).otherwise(none)
+    # The address comes first, null where there is none, so the place tells the kind.
+    offers = F.posexplode(F.concat(F.array(by_url), by_host)).alias("__kind", "__wanted")
+    known = results.where("host is not null").join(kinds, "job_id")
+    offered = known.select(*kept, offers).where("__wanted is not null")
+    how = F.when(F.col("__kind") == 0, "url").otherwise("host")
+    return offered.select(*kept, how.alias("__how"), "__wanted")
 
 
 def find_positions(queries: DataFrame, results: DataFrame, sites: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -105,7 +109,7 @@ def find_positions(queries: DataFrame, results: DataFrame, sites: DataFrame, pag
         walk = _walked(shown, **before).where(F.col("__whole") & F.col("__rows").isNotNull())
     walk = walk.select(*page_key, "__rows", F.coalesce("__before", F.lit(0)).alias("__before"))
     asked = _asked(sites)
-    matched = _offers(placed, *page_key, "__place").join(asked, ["job_id", "__how", "__wanted"])
+    matched = _offers(placed, asked, *page_key, "__place").join(asked, ["job_id", "__how", "__wanted"])
     # The pages are folded into one row per query, which holds its first match of each site.
     first = matched.groupBy(*page_key, "site").agg(F.min(F.struct("__place", "__how")).alias("__hit"))
     found = first.join(walk, page_key).groupBy(*QUERY, "site").agg(

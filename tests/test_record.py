@@ -226,3 +226,13 @@ def test_pace(spark):
     got = {r.job_id: r for r in H.pace(queries, pages, F.lit("2024-01-01 00:10:00").cast("timestamp")).collect()}
     assert (got[1].settled, got[1].pages, got[1].over_seconds, got[1].per_minute, got[1].known) == (4, 8, 60.0, 4.0, True)
     assert got[2].known is False and got[2].per_minute == 0
+
+
+def test_results_offer_only_what_their_job_asks_for(spark):
+    rows = [(job, "https://www.a.example.com/p/", "a.example.com") for job in (1, 2, 3)]
+    results = spark.createDataFrame(rows, "job_id long, url string, host string")
+    sites = spark.createDataFrame([(1, "example.com"), (2, "https://a.example.com/p"), (4, "example.com")], "job_id long, site string")
+    offered = S._offers(results, S._asked(sites), "job_id")
+    assert sorted(map(tuple, offered.collect())) == [
+        (1, "host", "a.example.com"), (1, "host", "com"), (1, "host", "example.com"), (2, "url", "a.example.com/p")
+    ]
