@@ -61,11 +61,15 @@ class _Words(WordTable):
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return self._keep(word, b"".join(i.to_bytes(4, "little") for i in ids))
 
+    def _unknown(self, words: set[str]) -> list[str]:
+        # Each word is looked up: a difference of sets walks the whole table.
+        return [w for w in words if w not in self and w not in self.older]
+
     def learn(self, words: set[str]) -> None:
         """Encode what is unknown, many plain words in one call: each ends with a
         token that only ends words."""
-        cores = {w.rstrip(_MARKS) for w in words.difference(self, self.older)}
-        plain = [w for w in cores.difference(self, self.older) if w.isalpha() and len(w) <= 64 and _latin(w)]
+        cores = {w.rstrip(_MARKS) for w in self._unknown(words)}
+        plain = [w for w in self._unknown(cores) if w.isalpha() and len(w) <= 64 and _latin(w)]
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids

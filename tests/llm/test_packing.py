@@ -83,3 +83,17 @@ def test_odd_rows(spark):
     records = [(r.doc_id, r.text) for r in docs.collect()]
     check(P.packed_documents(docs, PATH).collect(), records, 4096)
     assert P.packed_documents(cases.table(spark, []), PATH).collect() == []
+
+
+def test_new_words_are_found_without_a_walk_of_the_table():
+    class Still(P._Words):
+        def __iter__(self):
+            raise AssertionError("the table was walked")
+
+    known = Still(PATH)
+    for words in ({"alpha", "beta,"}, {"beta,", "gamma", "наука"}):
+        known.learn(words)
+    for word in ("alpha", "beta,", "gamma", "наука"):
+        ids = known.tokenizer.encode(word, add_special_tokens=False).ids
+        assert known[word] == b"".join(i.to_bytes(4, "little") for i in ids)
+    assert {"alpha", "beta", "gamma"} <= set(known.keys())
