@@ -266,7 +266,9 @@ def validate_jobs(t: Tables) -> DataFrame:
 )
 def counts_under(t: Tables) -> DataFrame:
     parts = {"queries": t.h_queries, "pages": t.h_pages, "results": t.h_results, "ads": t.h_ads, "related": t.h_related}
-    return R.counts_under({**parts, "seen": R.seen_keys(_filtered(t), "unique_by")})
+    # A key is made of what was found, whatever its rank, so no ranks are recorded for this.
+    found = t.h_results.join(t.h_jobs.select("job_id", "unique_by"), "job_id")
+    return R.counts_under({**parts, "seen": R.seen_keys(found, "unique_by")})
 
 
 @query(
