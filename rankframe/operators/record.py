@@ -103,24 +103,34 @@ def place_key() -> Column:
     return (wide + narrow.cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
-def first_seen(results: DataFrame, by: Column | str, seen: DataFrame | None = None) -> DataFrame:
+def first_places(results: DataFrame, by: Column | str) -> DataFrame:
+    """(job_id, key, at): the first place of each key, and with a null key the
+    places of rows whose address reads as nothing after all. Rows with nothing to
+    make a key of are left out. A key is worked out once per row, in one pass."""
+    rest = results.where(~_keyless(by))
+    # Exploding one value works the key out once, however often it is read.
+    keyed = rest.select("job_id", place_key().alias("at"), F.explode(F.array(seen_key(by))).alias("key"))
+    # A row without a key is a group of its place.
+    own = F.when(F.col("key").isNull(), F.col("at")).alias("own")
+    return keyed.groupBy("job_id", "key", own).agg(F.min("at").alias("at")).drop("own")
+
+
+def first_seen(results: DataFrame, by: Column | str, seen: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
     """Keep a job's first row of each key, and every row without a key.
 
     ``seen`` (job_id, key) holds what earlier runs kept. Only keys and places are
     grouped, and reduced before the shuffle, so a key of any number of copies is
     no hot spot; the rows come back by their place, which spreads evenly. Of rows
-    with one key in one place one is kept.
+    with one key in one place one is kept. ``places`` are the rows' ``first_places``
+    where they are at hand.
     """
     # Rows with nothing to make a key of stay as they are, neither sorted nor shuffled.
     alone, rest = results.where(_keyless(by)), results.where(~_keyless(by))
-    # Exploding one value works the key out once, however often it is read.
-    keyed = rest.select("job_id", place_key().alias("__at"), F.explode(F.array(seen_key(by))).alias("__first"))
-    first = keyed.where("__first is not null").groupBy("job_id", "__first").agg(F.min("__at").alias("__at"))
+    first = first_places(results, by) if places is None else places
+    first = first.select("job_id", F.col("key").alias("__first"), F.col("at").alias("__at"))
     if seen is not None:
         before = seen.select("job_id", F.col("key").alias("__first"))
         first = first.join(before, ["job_id", "__first"], "left_anti")
-    # An address may read as nothing after all; such rows have no key either.
-    first = first.unionByName(keyed.where("__first is null").distinct())
     found = rest.withColumn("__at", place_key()).join(first, ["job_id", "__at"])
     found = found.withColumn("__key", F.explode(F.array(seen_key(by)))).where(F.col("__key").eqNullSafe(F.col("__first")))
     twins = Window.partitionBy("job_id", "__at", "__first").orderBy("__at")
@@ -130,7 +140,9 @@ def first_seen(results: DataFrame, by: Column | str, seen: DataFrame | None = No
 
 def seen_keys(results: DataFrame, by: Column | str) -> DataFrame:
     """The (job_id, key) rows to remember for the next run."""
-    return results.select("job_id", seen_key(by).alias("key")).where("key is not null").distinct()
+    # Exploded, so that the test for null does not work every key out again.
+    keyed = results.select("job_id", F.explode(F.array(seen_key(by))).alias("key"))
+    return keyed.where("key is not null").distinct()
 
 
 def dropped_counts(results: DataFrame, by: Column | str, before: DataFrame | None = None) -> DataFrame:

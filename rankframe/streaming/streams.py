@@ -19,7 +19,7 @@ from rankframe.functions.vectors import closeness
 from rankframe.operators import pages as P
 from rankframe.operators.judge import mark_related
 from rankframe.operators.layouts import Layout, record_line
-from rankframe.operators.record import QUERY, cumulative_rank, first_seen, keep_aside, keep_fields, seen_key, seen_keys
+from rankframe.operators.record import QUERY, cumulative_rank, first_places, first_seen, keep_aside, keep_fields, seen_key
 from rankframe.schemas import SEEN
 
 RHYTHM_OUT = "session bigint, answered bigint, met bigint, intervals bigint, carried bigint"
@@ -58,14 +58,19 @@ def record_batch(root: str, jobs: DataFrame) -> Callable[[DataFrame, int], None]
     def record(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
         ranked = cumulative_rank(batch).join(rules, "job_id")
+        # The keys are worked out once, for the repeats and for what is remembered.
+        places = first_places(batch.join(rules, "job_id"), "unique_by")
+        places.write.mode("overwrite").parquet(f"{root}/places/epoch={number}")
+        places = spark.read.schema(places.schema).parquet(f"{root}/places/epoch={number}")
         seen = None
         if number > 0:
             told = T.StructType([*SEEN.fields, T.StructField("epoch", T.LongType())])
             seen = spark.read.schema(told).parquet(f"{root}/seen").where(F.col("epoch") < number)
-        first = first_seen(ranked, "unique_by", seen)
+        first = first_seen(ranked, "unique_by", seen, places)
         kept = keep_fields(first, "fields").select(*batch.columns, "rank")
         kept.write.mode("overwrite").parquet(f"{root}/results/epoch={number}")
-        seen_keys(batch.join(rules, "job_id"), "unique_by").write.mode("overwrite").parquet(f"{root}/seen/epoch={number}")
+        known = places.where("key is not null").select("job_id", "key")
+        known.write.mode("overwrite").parquet(f"{root}/seen/epoch={number}")
 
     return record
 

@@ -1,5 +1,6 @@
 """Ranks, repeats and running figures against plain loops."""
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
@@ -97,6 +98,39 @@ def test_first_seen_after_an_earlier_run(spark):
     assert {tuple(r)[:4] for r in first.unionByName(rest).collect()} == whole
 
 
+def test_a_key_is_worked_out_once_per_row_and_use(spark):
+    frame = spark.createDataFrame(random_results(8), RESULTS)
+
+    def read(rows):
+        return rows._jdf.queryExecution().optimizedPlan().toString().upper().count("REGEXP_REPLACE(")
+
+    once = read(frame.select(R.seen_key(F.lit("url")).alias("key")))
+    assert once and read(R.seen_keys(frame, F.lit("url"))) == once
+    # For the first places, and again for the rows that stand in them.
+    assert read(R.first_seen(frame, F.lit("url"))) == 2 * once
+    places = R.first_places(frame, F.lit("url"))
+    assert sorted(map(tuple, R.first_seen(frame, F.lit("url"), None, places).collect())) == sorted(
+        map(tuple, R.first_seen(frame, F.lit("url")).collect())
+    )
+
+
+def test_counts_under_records_no_ranks(spark, tmp_path):
+    from rankframe.plans import registry, views
+
+    registry.load()
+    day = datetime.datetime(1996, 1, 1)
+    tables = {
+        "nation": [(n, f"N{n}", n % 5) for n in range(5)],
+        "orders": [(o, o % 5, "F", 1.0, day, "1-URGENT") for o in range(10)],
+        "lineitem": [(o, o % 3, 1, n, float(n), 1.0, 0.0, 0.0, "A", "F", day) for o in range(10) for n in range(1, 5)],
+    }
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, views.DRIVER_TABLES[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.job_id, r.part): r.n for r in registry.run("counts_under", spark, str(tmp_path)).collect()}
+    assert got[0, "queries"] == 2 and got[0, "results"] == 8 and got[0, "pages"] == 4 and sum(n for (_, part), n in got.items() if part == "seen")
+    assert {name for _, folder, name in views._RECORDED if folder == str(tmp_path)} == {"arrivals"}
+
+
 def test_running_measures_against_a_loop(spark):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), i, rng.randint(-9, 9)) for i in range(300)]

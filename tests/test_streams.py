@@ -51,6 +51,10 @@ def test_record_over_batches_and_a_batch_done_again(spark, tmp_path):
     want = R.first_seen(R.cumulative_rank(frame), F.lit("url"))
     assert sorted(map(tuple, got.select(*R.ROW, "rank", "url").collect())) == sorted(map(tuple, want.select(*R.ROW, "rank", "url").collect()))
     assert {r.title for r in got.select("title").collect()} == {""}
+    # What is remembered of each batch are its own keys, worked out once.
+    for number, part in enumerate(parts):
+        seen = spark.read.parquet(f"{tmp_path}/out/seen/epoch={number}")
+        assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, R.seen_keys(part.where("job_id < 3"), F.lit("url")).collect()))
 
 
 def test_rhythm(spark, tmp_path):
