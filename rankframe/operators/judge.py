@@ -11,6 +11,8 @@ from rankframe.operators.record import QUERY
 
 # Where the meaning filter starts, and the ends of its range.
 DEFAULT_MIN, LOWEST_MIN, HIGHEST_MIN = 0.54, 0.30, 0.80
+# The vectors of completions of more pairs than this are broadcast.
+PAIRS_OF_ONE = 10_000
 
 
 def mark_related(pairs: DataFrame, key: str = "key", completion: str = "text") -> DataFrame:
@@ -22,17 +24,35 @@ def mark_related(pairs: DataFrame, key: str = "key", completion: str = "text") -
     return cut.withColumn("related", related_words(F.col("__k"), F.col("__w"))).drop("__k", "__w")
 
 
-def score_pairs(pairs: DataFrame, vectors: DataFrame, key: str = "key", completion: str = "text") -> DataFrame:
+def score_pairs(
+    pairs: DataFrame, vectors: DataFrame, key: str = "key", completion: str = "text", counted: DataFrame | None = None
+) -> DataFrame:
     """Add ``similarity``: the cosine of key and completion.
 
     ``vectors`` (phrase, vector) holds each phrase once, so a key's vector is
     made once whatever it is paired with. A phrase without a vector leaves its
     pair unscored.
+
+    ``counted`` has the pairs' completions, for less than the pairs cost. Where it
+    is given, the completions of very many pairs, a ten-thousandth of the pairs at
+    most, have their vectors broadcast: their pairs are not shuffled, each with the
+    vector of its key, to one place.
     """
+
     # A vector's length is worked out once per phrase, before it meets its pairs.
-    keys = vectors.select(F.col("phrase").alias(key), F.col("vector").alias("__a"), length("vector").alias("__a_length"))
-    texts = vectors.select(F.col("phrase").alias(completion), F.col("vector").alias("__b"), length("vector").alias("__b_length"))
-    both = pairs.join(keys, key, "left").join(texts, completion, "left")
+    def named(some: DataFrame, phrase: str, vector: str) -> DataFrame:
+        return some.select(F.col("phrase").alias(phrase), F.col("vector").alias(vector), length("vector").alias(f"{vector}_length"))
+
+    keys, texts = named(vectors, key, "__a"), named(vectors, completion, "__b")
+    if counted is None:
+        both = pairs.join(keys, key, "left").join(texts, completion, "left")
+    else:
+        counts = counted.groupBy(completion).agg(F.count(F.lit(1)).alias("__n"))
+        many = F.broadcast(counts.where(F.col("__n") > PAIRS_OF_ONE).select(completion))
+        few = named(vectors.join(many, vectors["phrase"] == many[completion], "left_semi"), completion, "__b")
+        common = pairs.join(many, completion, "left_semi").join(keys, key, "left").join(F.broadcast(few), completion, "left")
+        others = pairs.join(many, completion, "left_anti").join(keys, key, "left").join(texts, completion, "left")
+        both = common.unionByName(others)
     known = F.col("__a").isNotNull() & F.col("__b").isNotNull()
     return both.select(*pairs.columns, F.when(known, closeness("__a", "__b", "__a_length", "__b_length")).alias("similarity"))
 
@@ -52,7 +72,7 @@ def score_backfill(results: DataFrame, queries: DataFrame, vectors: DataFrame) -
     scored = results.where(F.col("similarity").isNotNull())
     rows = results.where(F.col("similarity").isNull()).drop("similarity")
     asked = rows.join(queries.select(*QUERY, F.col("text").alias("__key")), QUERY)
-    return scored.unionByName(score_pairs(asked, vectors, "__key", "title").drop("__key"))
+    return scored.unionByName(score_pairs(asked, vectors, "__key", "title", rows).drop("__key"))
 
 
 def threshold(asked: str | float | None) -> float:

@@ -47,6 +47,21 @@ def test_backfill_scores_only_the_unscored(spark):
     assert {r.title: r.similarity for r in J.score_backfill(once, queries, vectors).collect()} == pytest.approx(want)
 
 
+def test_pairs_of_a_common_completion_are_not_shuffled_by_it(spark, monkeypatch):
+    monkeypatch.setattr(J, "PAIRS_OF_ONE", 2)
+    rows = [("k", "x"), ("l", "x"), ("k", "x"), ("l", "y"), ("k", "none"), ("k", "none"), ("k", "none"), (None, "x"), ("k", None)]
+    pairs = spark.createDataFrame(rows, "key string, text string")
+    vectors = spark.createDataFrame(
+        [("k", [1.0, 0.0]), ("l", [0.0, 1.0]), ("x", [3.0, 4.0]), ("y", [4.0, 3.0])], "phrase string, vector array<double>"
+    )
+    want = [("k", "x", 0.6), ("l", "x", 0.8), ("k", "x", 0.6), ("l", "y", 0.6), *[("k", "none", None)] * 3, (None, "x", None), ("k", None, None)]
+    scored = J.score_pairs(pairs, vectors, counted=pairs)
+    got = [(r.key, r.text, None if r.similarity is None else round(r.similarity, 9)) for r in scored.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    told = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in told and "strategy=broadcast" in told
+
+
 PIECES = {"▁": -3.0, "a": -4.0, "b": -4.0, "▁a": -3.5, "ab": -5.0, "ba": -4.5, "▁ab": -6.0, "aba": -8.5, "!": -5.0}
 
 
