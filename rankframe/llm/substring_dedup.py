@@ -97,6 +97,19 @@ def _worded(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words)), counts
 
 
+def _places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends, in code points."""
+    if (pattern := _words_by(text)) is not _WORD:
+        spans = np.array([m.span() for m in pattern.finditer(text)], np.int64).reshape(-1, 2)
+        return spans[:, 0], spans[:, 1]
+    plain = text.isascii()
+    codes = np.frombuffer(text.encode() if plain else text.encode("utf-32-le", "surrogatepass"), np.uint8 if plain else np.uint32)
+    space = np.ones(len(codes) + 2, bool)
+    space[1:-1] = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
+
+
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -105,12 +118,16 @@ def _nowhere() -> Spans:
 
 
 def _digested(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Spans:
-    """Start and end (in words) of spans that cover all words, and two 64-bit digests of each."""
-    inside = np.arange(len(marks), dtype=np.uint64) - np.repeat(starts, ends - starts).astype(np.uint64)
-    plain = mixed_bits((marks >> np.uint64(4)) + inside * _STEP)
-    first = mixed_bits(np.add.reduceat(plain, starts))
-    second = mixed_bits(np.add.reduceat(mixed_bits(plain ^ _STEP), starts))
-    return starts, ends, first, second
+    """Start and end (in words) of some spans, and two 64-bit digests of each."""
+    if not len(starts):
+        return _nowhere()
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    inside = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    plain = mixed_bits((marks[np.repeat(starts, sizes) + inside] >> np.uint64(4)) + inside.astype(np.uint64) * _STEP)
+    one = mixed_bits(np.add.reduceat(plain, first))
+    two = mixed_bits(np.add.reduceat(mixed_bits(plain ^ _STEP), first))
+    return starts, ends, one, two
 
 
 def _chosen(marks: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -133,9 +150,13 @@ def _chosen(marks: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndar
     return ok
 
 
-def _cut_up(text: str | None) -> tuple[Spans, Spans, np.ndarray]:
-    """The units of a text, its lines, and the size of all words before each word, in halves."""
-    nothing = _nowhere(), _nowhere(), np.zeros(1, np.int64)
+Bounds = tuple[np.ndarray, np.ndarray]
+
+
+def _cut_up(text: str | None) -> tuple[np.ndarray, Bounds, Bounds, np.ndarray]:
+    """The marks of a text's words, start and end of its units and of its lines, and
+    the size of all words before each word, in halves."""
+    nothing = np.empty(0, np.uint64), _nowhere()[:2], _nowhere()[:2], np.zeros(1, np.int64)
     if not text:
         return nothing
     marks, line_ends = _worded(text)
@@ -161,24 +182,24 @@ def _cut_up(text: str | None) -> tuple[Spans, Spans, np.ndarray]:
         after = np.repeat(size[ends[still]], lengths) - size[at + 1]
         cut[at[_chosen(marks[at], before, after)]] = True
         ends = np.flatnonzero(cut) + 1
-    found = _digested(marks, np.concatenate([[0], ends[:-1]]), ends)
-    return found, _digested(marks, np.concatenate([[0], line_ends[:-1]]), line_ends), size
+    return marks, (np.concatenate([[0], ends[:-1]]), ends), (np.concatenate([[0], line_ends[:-1]]), line_ends), size
 
 
 def units(text: str | None) -> Spans:
     """Start and end (in words) of each unit, and its two 64-bit digests."""
-    return _cut_up(text)[0]
+    marks, found, _, _ = _cut_up(text)
+    return _digested(marks, *found)
 
 
 def _looked_up(text: str | None) -> list[np.ndarray]:
     """Units and whole lines whose digests are compared, each span once."""
-    found, lines, size = _cut_up(text)
+    marks, found, lines, size = _cut_up(text)
     keep = size[found[1]] - size[found[0]] >= LEAST_UNIT * HALVES
     # A line of one unit is that unit.
     at = np.searchsorted(found[0], lines[0])
     known = (found[1][at] == lines[1]) & keep[at] if len(at) else np.empty(0, bool)
     more = (size[lines[1]] - size[lines[0]] >= SHORT_LINE * HALVES) & ~known
-    return [np.concatenate([x[keep], y[more]]) for x, y in zip(found, lines)]
+    return list(_digested(marks, *[np.concatenate([x[keep], y[more]]) for x, y in zip(found, lines)]))
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,15 +226,15 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(text: str, repeated: dict[tuple[int, int], object], least_words: int, least_line: int) -> list[tuple]:
     """Removed spans of a text; ``repeated`` has its repeated units and lines, and who keeps each."""
-    found, lines, size = _cut_up(text)
+    _, found, lines, size = _cut_up(text)
     size = size.tolist()
-    spans = [m.span() for m in _words_by(text).finditer(text)]
+    begins, ceases = _places(text)
     out, run = [], []
     line_end = dict(zip(lines[0].tolist(), lines[1].tolist()))
 
     def removed(part: list[tuple]) -> tuple:
         a, b = part[0][0], part[-1][1]
-        return spans[a][0], spans[b - 1][1], part[0][2], -((size[a] - size[b]) // HALVES)
+        return int(begins[a]), int(ceases[b - 1]), part[0][2], -((size[a] - size[b]) // HALVES)
 
     def close() -> None:
         while run and run[-1][2] is _NOBODY:

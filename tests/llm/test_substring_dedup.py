@@ -146,3 +146,25 @@ def test_the_query(spark):
     assert Counter(r.doc_id for r in rows) == Counter(texts.keys())
     for r in rows:
         assert "".join(texts[r.doc_id][k.start : k.end] for k in r.kept) == r.text
+
+
+def test_places_of_words_as_the_pattern_finds_them():
+    texts = ["", " ", "a", " a\tb\n\x0bc ", "\x1c a\x85b\u00a0c \u3000 d", "é😀 ü\tß\x1fx", "一二 三，四 abc", "w " * 500 + "end"]
+    for text in texts:
+        begins, ceases = S._places(text)
+        assert list(zip(begins.tolist(), ceases.tolist())) == [m.span() for m in S._words_by(text).finditer(text)]
+
+
+def test_digests_are_made_of_what_is_looked_up_alone(monkeypatch):
+    """A line of one sentence is digested once, and no text again to be cut."""
+    words, real = [], S._digested
+
+    def digested(marks, starts, ends):
+        words.append(int((ends - starts).sum()))
+        return real(marks, starts, ends)
+
+    monkeypatch.setattr(S, "_digested", digested)
+    text = "\n".join(f"one two three four five six {i}." for i in range(20))
+    found = S._looked_up(text)
+    assert words == [140] and len(found[0]) == 20
+    assert S._runs(text, {(0, 7): 5}, 5, 5) == [(0, 30, 5, 7)] and words == [140]
