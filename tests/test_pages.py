@@ -122,6 +122,29 @@ def test_links_are_classified_once(spark):
     assert len(filters) == 1 and "isnotnull(position" in filters[0]
 
 
+def test_addresses_are_taken_apart_once_each(spark):
+    """A link of each form once where it leads and once for its host, a cite once."""
+    serps = P.extract_serps(spark.createDataFrame([(1, 200, "", "")], CAPTURE))
+    plan = P.organic_results(serps, ["page"])._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("(?s:.*)$, $1") <= 5
+
+
+def test_a_remembered_tag_may_go_on_elsewhere():
+    """The page ends within a value there, and goes on here."""
+    open_value = '<div><a data-ved title="x'
+    whole = "<div>" + '<a data-ved title="x><b>" href="/goto?1"><h3>T</h3></a></div>'
+    for _ in range(2):
+        assert read_page(open_value)["links"] == []
+        assert [(k["href"], k["title"]) for k in read_page(whole)["links"]] == [("/goto?1", "T")]
+
+
+def test_elements_out_of_turn_are_closed_in_turn():
+    page = '<div id="rhs"><b><i></b></i></u></div><a data-ved="1" href="/goto?1"><h3>T</i></div></h3></a><p>a < b<5<p>c'
+    facts = read_page("<div>" + page + "</div>")
+    assert [(k["href"], k["title"]) for k in facts["links"]] == [("/goto?1", "T")]
+    assert list(scan("a < b<5<p>c"))[0] == ("text", "a < b<5", "")
+
+
 def test_offsets_of_any_length(spark):
     bar = '<div role="navigation"><a href="/search?start=%s">2</a><a href="/search?start=30">4</a></div>'
     assert read(spark, result(1, "https://a.com/") + bar % ("9" * 18)).max_offset == int("9" * 18)
